@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 from .common import table
 
 
@@ -24,5 +24,12 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
        sha256(t) AS text_sha256
 FROM n JOIN g USING (t)
 """
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dedup(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op10_exact_dedup": op10_exact_dedup, "op5_simhash_dedup": op5_simhash_dedup}
 SQL = {"op10_exact_dedup": OP10_SQL}
