@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Workspace, free_name, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STORE = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; many small stores shouldn't each reserve megabytes for logs.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -52,8 +56,9 @@ class DigestState:
             # a batch that is run again writes the same folder again
             batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-        before = spark.conf.get(STORE, None)
-        spark.conf.set(STORE, ROCKSDB)
+        before = {name: spark.conf.get(name, None) for name in STORE}
+        for name, value in STORE.items():
+            spark.conf.set(name, value)
         try:
             (
                 spark.readStream.schema(self.schema)
@@ -69,7 +74,8 @@ class DigestState:
                 .awaitTermination()
             )
         finally:
-            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+            for name, value in before.items():
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
     def groups(self) -> DataFrame:
         """Per digest the state's latest values; both only ever move one way."""
