@@ -115,14 +115,19 @@ def names(word: str) -> list[str]:
     return ["=" + word, *[str(n) + word[:n] for n in STEMS if len(word) >= n]] if word else []
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int = 600) -> np.ndarray:
     """Weights and, last, the intercept, by accelerated gradient descent on a 0/1 matrix."""
     n, d = x.shape
-    rate = 4.0 / max(1.0, float((x.sum(1) + 1).mean()))
+    z = np.ones(d + 1)  # power iteration: the largest curvature sets the step
+    for _ in range(30):
+        z /= np.linalg.norm(z)
+        p = x @ z[:-1].astype(x.dtype) + z[-1].astype(x.dtype)
+        z = np.append(x.T @ p, p.sum()).astype(np.float64)
+    rate = 4.0 * n / float(np.linalg.norm(z)) / 1.05
     w = v = np.zeros(d + 1)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v[:-1] + v[-1], -40, 40)))
-        slope = np.append(x.T @ (p - y), (p - y).sum()) / n
+        p = 1 / (1 + np.exp(-np.clip(x @ v[:-1].astype(x.dtype) + v[-1], -40, 40)))
+        slope = np.append(x.T @ (p - y).astype(x.dtype), (p - y).sum()) / n
         slope[:-1] += ridge * v[:-1]
         new = v - rate * slope
         v = new + k / (k + 3) * (new - w)
@@ -211,7 +216,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: in
     each = seen.select("toxic", F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("all"), F.sum("toxic").alias("bad"))
     # how many standard deviations a feature's toxic share is from the whole sample's
     rate = toxic / n
-    each = each.filter("all >= 3").withColumn("z", (F.col("bad") - F.col("all") * rate) / F.sqrt(F.col("all") * rate * (1 - rate)))
+    each = each.filter("all >= 4").withColumn("z", (F.col("bad") - F.col("all") * rate) / F.sqrt(F.col("all") * rate * (1 - rate)))
     best = [r["name"] for r in each.orderBy(F.desc(F.abs("z")), "name").limit(features).collect()]
     place = {name: i for i, name in enumerate(best)}
     x, y = np.zeros((n, len(best)), np.float32), np.zeros(n)
