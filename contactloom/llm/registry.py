@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_dedup, q_mix, q_pack, q_pii, q_scan, q_topk, q_toxic
+from . import q_dedup, q_lines, q_mix, q_pack, q_pii, q_scan, q_topk, q_toxic
 
-MODULES = (q_scan, q_dedup, q_mix, q_pack, q_pii, q_topk, q_toxic)
+MODULES = (q_scan, q_dedup, q_lines, q_mix, q_pack, q_pii, q_topk, q_toxic)
 
 
 def queries() -> dict:
