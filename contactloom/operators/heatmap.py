@@ -128,7 +128,7 @@ def tiled(contacts: DataFrame, genome: Genome, size: int, step: int, resolution:
     own = contacts.filter("chrms1 = chrms2 AND chrms1 >= 0").selectExpr("chrms1 AS chrom", "least(cuts1, cuts2) AS lo", "greatest(cuts1, cuts2) AS hi")
     first = F.expr(f"greatest(0L, cast(ceil((hi - {size} + 1) / {step}) as bigint))")
     last = F.expr(f"cast(lo div {step} as bigint)")
-    in_tiles = own.withColumn("a", first).withColumn("z", last).filter("a <= z").withColumn("tile_start", F.explode(F.sequence("a", "z")) * step)
+    in_tiles = own.withColumn("a", first).withColumn("z", last).filter("a <= z").withColumn("k", F.explode(F.sequence("a", "z"))).withColumn("tile_start", F.col("k") * step)
     p = [F.expr(f"cast(({x} - tile_start) div {resolution} as int)").alias(n) for x, n in (("lo", "bin1"), ("hi", "bin2"))]
     return in_tiles.groupBy("chrom", "tile_start", *p).agg(F.count("*").alias("value"))
 

@@ -11,11 +11,11 @@ from ..genome import Genome, small
 from .rangejoin import points_in_intervals
 
 
-def loop_windows(loops: DataFrame, genome: Genome, resolution: int, pad: int) -> DataFrame:
-    """loop, chrom, s and e (bins of both anchors) of loops (chrom, start, end) at least 10 bins
-    long whose windows stay on the chromosome."""
+def loop_windows(loops: DataFrame, genome: Genome, resolution: int, pad: int, least_bins: int = 10) -> DataFrame:
+    """chrom, s and e (bins of both anchors) and m, how often they occur, of loops (chrom, start, end)
+    at least ``least_bins`` bins long whose windows stay on the chromosome."""
     n = genome.chromosomes.select("chrom", F.expr(f"cast((len - 1) div {resolution} + 1 as int)").alias("n"))
-    own = loops.join(small(n, genome.n_chromosomes), "chrom").filter(F.abs(F.col("start") - F.col("end")) >= 10 * resolution)
+    own = loops.join(small(n, genome.n_chromosomes), "chrom").filter(F.abs(F.col("start") - F.col("end")) >= least_bins * resolution)
     own = own.select("chrom", "n", F.expr(f"cast(start div {resolution} as int)").alias("s"), F.expr(f"cast(end div {resolution} as int)").alias("e"))
     return own.filter((F.col("s") - pad >= 0) & (F.col("e") + pad <= F.col("n"))).groupBy("chrom", "s", "e").agg(F.count("*").alias("m"))
 
