@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import spearman
 from ..genome import small
+from ..workspace import Workspace
 
 
 def from_signal(signal: DataFrame, offsets: DataFrame, n_chromosomes: int, resolution: int, control: DataFrame | None = None, inner: int = 1000) -> DataFrame:
@@ -110,10 +111,11 @@ def ring_ready(pixels: DataFrame, n_bins: int) -> DataFrame:
     from .balance import balance, corrected
     from .pixels import percentile_with_zeros, remove_diagonal, sides
 
-    own = remove_diagonal(pixels, 1)
+    space = Workspace(pixels.sparkSession, "ring")
+    own = space.write(remove_diagonal(pixels, 1), "pixels")
     cut = percentile_with_zeros(own, F.lit(2), n_bins * n_bins, 1 - 1e-4)
     own = own.join(F.broadcast(cut)).select("bin1", "bin2", F.least(F.col("value").cast("double"), F.col("cut")).alias("value"))
-    own = corrected(own, balance(own, n_bins=n_bins), n_bins)
+    own = space.write(corrected(own, balance(own, n_bins=n_bins), n_bins), "balanced")
     second = own.filter("bin2 - bin1 = 2").agg((F.coalesce(F.sum("value"), F.lit(0.0)) / (n_bins - 2)).alias("second"))
     near = pixels.sparkSession.range(n_bins).select(F.explode(F.array(*[F.struct(F.col("id").cast("int").alias("bin1"), (F.col("id") + k).cast("int").alias("bin2"), F.lit(f).alias("f")) for k, f in ((0, 1.5), (1, 1.2))])).alias("c")).select("c.*")
     near = near.filter(F.col("bin2") < n_bins).join(F.broadcast(second)).select("bin1", "bin2", (F.col("f") * F.col("second")).alias("value"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import contact_queries, map_queries
+from . import contact_queries, map_queries, source_queries
 from .registry import QUERIES, SQL
 
-MODULES = (contact_queries, map_queries)
+MODULES = (contact_queries, map_queries, source_queries)
 __all__ = ["MODULES", "QUERIES", "SQL"]

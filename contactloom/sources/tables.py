@@ -26,7 +26,7 @@ def manifest_groups(rows: DataFrame) -> DataFrame:
 
 def resolution_of(name: str):
     """Base pairs from the last ``-<digits>k`` or ``-<digits>M`` of a name, null without one."""
-    found = F.element_at(F.regexp_extract_all(name, F.lit(r"-(\d{1,5}[kM])"), F.lit(1)), -1)
+    found = F.try_element_at(F.regexp_extract_all(name, F.lit(r"-(\d{1,5}[kM])"), F.lit(1)), F.lit(-1))
     n = F.regexp_extract(found, r"(\d+)", 1).cast("long")
     return F.when(F.endswith(found, F.lit("k")), n * 1000).when(F.endswith(found, F.lit("M")), n * 1_000_000)
 
