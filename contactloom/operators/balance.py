@@ -105,12 +105,16 @@ def one_pass(own: DataFrame, bias: DataFrame, n_bins: int) -> DataFrame:
 
 
 def fixed_passes(pixels: DataFrame, passes: int, n_bins: int, trans_only: bool = False) -> DataFrame:
-    """(bin, bias) after so many passes, as one lazy plan."""
+    """(bin, bias) after so many passes.  Each pass reads the biases several times, so they're
+    written between passes: one plan for all would grow as a power of their number."""
+    space = Workspace(pixels.sparkSession, "passes")
     own = pixels.select("bin1", "bin2", F.col("value").cast("double").alias("value"), *([(F.col("chrom1") != F.col("chrom2")).alias("counted")] if trans_only else []))
-    bias = _ends(own).distinct().withColumn("bias", F.lit(1.0))
-    for _ in range(passes):
+    own = space.write(own, "pixels")
+    bias = space.write(_ends(own).distinct().withColumn("bias", F.lit(1.0)), "bias-0")
+    for k in range(passes):
         m = one_pass(own, bias, n_bins).withColumnRenamed("bin", "_m")
-        bias = bias.join(small(m, n_bins), F.col("bin") == F.col("_m"), "left").select("bin", (F.col("bias") * F.coalesce("m", F.lit(1.0))).alias("bias"))
+        new = bias.join(small(m, n_bins), F.col("bin") == F.col("_m"), "left").select("bin", (F.col("bias") * F.coalesce("m", F.lit(1.0))).alias("bias"))
+        bias = space.write(new, f"bias-{k + 1}")
     return bias
 
 
