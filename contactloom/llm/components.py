@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# The smallest neighbours are written before they are joined: a join of two tables can split a node
+# that very many edges have, one on top of an aggregate can't.
+
+
+def _large_star(space: Workspace, edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour instead."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = space.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large-least")
     return both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(space: Workspace, edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are all linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = space.write(down.groupBy("a").agg(F.min("b").alias("m")), "small-least")
     return down.join(least, "a").select(F.col("m").alias("a"), "b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b")))
 
 
@@ -32,8 +36,8 @@ def components(space: Workspace, edges: DataFrame, rounds: int = 60) -> DataFram
     now = space.write(now, "star-0")
     told = _told(now)
     for k in range(1, rounds):
-        stars = _small_star(_large_star(now)).filter("a <> b").distinct()
-        now = space.write(stars, f"star-{k}")
+        large = space.write(_large_star(space, now).filter("a <> b").distinct(), "large")
+        now = space.write(_small_star(space, large).filter("a <> b").distinct(), f"star-{k}")
         if k > 1:
             space.drop(f"star-{k - 2}")
         before, told = told, _told(now)

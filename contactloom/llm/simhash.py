@@ -30,13 +30,12 @@ from .common import Workspace
 from .components import components
 
 BITS = 64
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACES = {i: " " for i in range(9, 14)}
 
 
-def words(text: str | None) -> list[str]:
-    """Words of a text, A-Z lower-cased; only the space and the five controls 9 to 13 separate."""
-    return [w for w in (text or "").translate(_SPACES).translate(_LOWER).split(" ") if w]
+def words(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8, A-Z lower-cased.  For bytes, white space is the space and the
+    controls 9 to 13, and upper case is A-Z, no more."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -48,7 +47,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
         return 0
     n = max(1, len(own) - width + 1)
     ones = np.zeros(BITS, dtype=np.int64)
-    digest, join = xxhash.xxh64_intdigest, " ".join
+    digest, join = xxhash.xxh64_intdigest, b" ".join
     for start in range(0, n, 65536):  # a very long text takes bounded memory
         count = min(65536, n - start)
         hashes = np.fromiter((digest(join(own[i : i + width]), seed) for i in range(start, start + count)), np.uint64, count)
