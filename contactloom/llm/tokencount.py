@@ -122,15 +122,14 @@ def counts(docs: DataFrame, pieces: tuple[set[bytes], set[bytes]] | None = None,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(*(given or word_pieces(vocabulary)))
-        known: dict[str, int] = {}
-        spaces = {i: " " for i in range(9, 14)}
+        known: dict[bytes, int] = {}
 
-        def learn(words: list[str]) -> list[int]:
+        def learn(words: list[bytes]) -> list[int]:
             out = []
             for w in words:
                 n = known.get(w)
                 if n is None:
-                    n = automaton.count(w.encode("utf-8", "surrogatepass"))
+                    n = automaton.count(w)
                     if len(w) <= 64:
                         if len(known) >= memory:
                             known.clear()
@@ -141,7 +140,7 @@ def counts(docs: DataFrame, pieces: tuple[set[bytes], set[bytes]] | None = None,
         for batch in batches:
             n_words, n_tokens, n_unknown = [], [], []
             for text in batch.column(1).to_pylist():
-                words = [w for w in (text or "").translate(spaces).split(" ") if w]
+                words = (text or "").encode("utf-8", "surrogatepass").split()  # for bytes, at these six characters
                 try:
                     each = list(map(known.__getitem__, words))
                 except KeyError:
