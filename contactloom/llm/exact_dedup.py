@@ -168,11 +168,12 @@ def _differing(space: Workspace, slim: DataFrame, members: DataFrame, digest) ->
         .select("digest", "kept", "normal"),
         "hits",
     )
-    staying = texts.filter("kept").groupBy("digest").agg(F.min("normal").alias("stays"))
+    # a table of its own, so that the join below may split a digest that most rows have
+    staying = space.write(texts.filter("kept").groupBy("digest").agg(F.min("normal").alias("stays")), "staying")
     found = space.write(
         texts.join(staying, "digest").filter(F.col("normal") != F.col("stays")).select("digest"), "different"
     )
-    space.drop("hits")
+    space.drop("hits", "staying")
     return None if found.isEmpty() else found
 
 
