@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .simhash import words
 
 LAST = (1 << 63) - 1
-_ENTRY = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32()), ("side", pa.int32())]))
-_ENTRY_DDL = "array<struct<token:long,pos:int,side:int>>"
+#: An entry of a list packs its key (31 bits), the word's place (29) and its side (2).
+_KEY, _PLACE = 31, 2
 
 
 def need(n: int, m: int, threshold: float) -> int:
@@ -51,10 +50,15 @@ def prefix_length(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
-def _hash(word: str) -> int:
-    import xxhash
+def words(text: str | None) -> list[bytes]:
+    """Words in UTF-8, A-Z lower-cased.  For bytes, white space is the space and the controls 9 to
+    13, and upper case is A-Z, no more."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+def _digest(ws: list[bytes]) -> bytes:
+    """Of sorted words."""
+    return hashlib.blake2b(b" ".join(ws), digest_size=16).digest()
 
 
 def _signed(x: int) -> int:
@@ -74,8 +78,10 @@ def rarity(texts: DataFrame, buckets: int) -> np.ndarray:
         sums = np.zeros(buckets, np.int64)
         held: Counter = Counter()
 
+        import xxhash
+
         def pour() -> None:
-            at = np.fromiter((_hash(w) % buckets for w in held), np.int64, len(held))
+            at = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in held), np.int64, len(held))
             np.add.at(sums, at, np.fromiter(held.values(), np.int64, len(held)))
             held.clear()
 
@@ -99,55 +105,63 @@ def _lines(texts: DataFrame, sums, threshold: float, list_rows: int) -> DataFram
     entries of its lists and its bitmaps, if any other set can be similar."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from functools import reduce
+        from operator import xor
+
         import xxhash
 
-        own = sums.value
-        buckets = len(own)
-        known: dict[str, tuple[int, int]] = {}
+        own = sums.value.tolist()
+        # sums are coarsened until the largest fits in 19 bits; the order stays one order for all
+        buckets, shift = len(own), max(0, max(own, default=0).bit_length() - 19)
+        known: dict[bytes, int] = {}  # a word's rank: its bucket's sum, then 44 bits of its hash
+        marks: dict[bytes, int] = {}  # a word's bit in the bitmaps
         seen: set[bytes] = set()
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        names = ["doc", "line", "digest", "n", "entries", "low", "high"]
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], [], []]
-            docs = batch.column(0).to_pylist()
-            for doc, text in zip(docs, batch.column(1), strict=True):
-                for place, line in enumerate((text.as_py() or "").split("\n")):
-                    ws = sorted(set(words(line)))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
+                for place, line in enumerate(raw.split(b"\n")):
+                    ws = sorted(set(line.split()))
                     if not ws:
                         continue
                     n = len(ws)
-                    digest = hashlib.blake2b(" ".join(ws).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    digest = _digest(ws)
                     entries, bits = None, 0
                     if digest not in seen:
                         if len(seen) > 300_000:
                             seen.clear()
                         seen.add(digest)
                         if n / (n + 1) >= threshold:
-                            ranked = []
-                            for w in ws:
-                                k = known.get(w)
-                                if k is None:
-                                    if len(known) > 400_000:
-                                        known.clear()
-                                    h = _hash(w)
-                                    k = known[w] = (int(own[h % buckets]), h)
-                                ranked.append(k)
-                                bits ^= 1 << (k[1] >> 40 & 127)
-                            ranked.sort()
+                            try:
+                                ranked = sorted(map(known.__getitem__, ws))
+                            except KeyError:
+                                if len(known) > 400_000:
+                                    known.clear()
+                                    marks.clear()
+                                for w in ws:
+                                    if w not in known:
+                                        h = xxhash.xxh3_64_intdigest(w)
+                                        known[w] = own[h % buckets] >> shift << 44 | h >> 20
+                                        marks[w] = 1 << (h >> 8 & 127)
+                                ranked = sorted(map(known.__getitem__, ws))
+                            bits = reduce(xor, map(marks.__getitem__, ws))
                             entries = []
-                            for pos, (total, h) in enumerate(ranked[: prefix_length(n, threshold)]):
-                                parts = 1 + total // list_rows
+                            for pos, rank in enumerate(ranked[: prefix_length(n, threshold)]):
+                                parts = 1 + (rank >> 44 << shift) // list_rows
                                 if parts == 1:
-                                    entries.append({"token": _signed(h), "pos": pos, "side": 2})
+                                    entries.append((rank & 0x7FFFFFFF) << _KEY | pos << _PLACE | 2)
                                 else:
                                     part = int.from_bytes(digest[:8], "little") % parts
                                     for other in range(parts):
-                                        pair = xxhash.xxh3_64_intdigest(f"{h} {min(part, other)} {max(part, other)}")
-                                        entries.append({"token": _signed(pair), "pos": pos, "side": 2 if part == other else int(part > other)})
+                                        pair = xxhash.xxh3_64_intdigest(b"%d %d %d" % (rank, min(part, other), max(part, other)))
+                                        entries.append((pair & 0x7FFFFFFF) << _KEY | pos << _PLACE | (2 if part == other else int(part > other)))
                     for col, v in zip(cols, (doc, place, digest, n, entries, _signed(bits & ((1 << 64) - 1)), _signed(bits >> 64)), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), _ENTRY, pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc", "line", "digest", "n", "entries", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(scan, f"doc long, line int, digest binary, n int, entries {_ENTRY_DDL}, low long, high long")
+    return texts.mapInArrow(scan, "doc long, line int, digest binary, n int, entries array<long>, low long, high long")
 
 
 def _meet(listed: DataFrame, threshold: float, best: int, probes: bool) -> DataFrame:
@@ -158,7 +172,8 @@ def _meet(listed: DataFrame, threshold: float, best: int, probes: bool) -> DataF
         held: np.ndarray | None = None
 
         def done(r: np.ndarray) -> Iterator[pa.RecordBatch]:
-            token, n, pos, side, low, high, doc, line, tag, probe = r.T
+            token, n, at, low, high, doc, line, tag = np.ascontiguousarray(r.T)
+            probe, side, pos = at & 1, at >> 1 & 3, at >> 1 + _PLACE
             low, high = low.view(np.uint64), high.view(np.uint64)
             size = len(token)
             count = np.zeros(size, np.int64)
@@ -210,7 +225,9 @@ def _meet(listed: DataFrame, threshold: float, best: int, probes: bool) -> DataF
             yield from done(held)
 
     rows = listed.select(F.explode("c.entries").alias("e"), "c", "probe" if probes else F.lit(1).alias("probe"))
-    rows = rows.select("e.token", "c.n", "e.pos", "e.side", "c.low", "c.high", "c.doc", "c.line", "c.tag", "probe")
+    token = F.shiftright("e", _KEY).cast("int").alias("token")
+    # place, side and whether it looks for others travel as one small number
+    rows = rows.select(token, "c.n", ((F.col("e") % (1 << _KEY)) * 2 + F.col("probe")).cast("int").alias("at"), "c.low", "c.high", "c.doc", "c.line", "c.tag")
     return rows.repartition("token").sortWithinPartitions("token", "n", "doc", "line").mapInArrow(
         scan, "doc long, line long, tag long, to_doc long, to_line long, to_tag long"
     )
@@ -236,18 +253,18 @@ def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> Data
             if len(rows):
                 take = pa.array(rows)
                 own = [sorted(set(words(t))) for t in batch.column(2).take(take).to_pylist()]
-                tags = [int.from_bytes(hashlib.blake2b(" ".join(ws).encode("utf-8", "surrogatepass"), digest_size=16).digest()[:4], "little") for ws in own]
+                tags = [int.from_bytes(_digest(ws)[:4], "little") for ws in own]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take).cast(pa.int64()), pa.array(tags, pa.int64()), pa.array(own, pa.list_(pa.string()))],
+                    [batch.column(0).take(take), batch.column(1).take(take).cast(pa.int64()), pa.array(tags, pa.int64()), pa.array(own, pa.list_(pa.binary()))],
                     names=["doc", "line", "tag", "words"],
                 )
 
     lines = texts.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
     lines = lines.withColumn("line", F.col("line").cast("long")).select("doc", "line", "content", place.alias("p"))
-    return lines.mapInArrow(scan, "doc long, line long, tag long, words array<string>").distinct().join(wanted, ["doc", "line", "tag"], "left_semi")
+    return lines.mapInArrow(scan, "doc long, line long, tag long, words array<binary>").distinct().join(wanted, ["doc", "line", "tag"], "left_semi")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 1_000_000, best: int = 2) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 1_000_000, best: int = 16) -> DataFrame:
     """``doc_id``, n_lines, n_removed and the text left of each row of ``docs`` (doc_id, text).
 
     Lines end at line feeds and have their words as elsewhere: separated by the space and the
@@ -264,12 +281,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     # the digest's first four bytes as a number tell classes apart that start at one place
     little = F.concat(*[F.substring(F.hex("digest"), 7 - 2 * i, 2) for i in range(4)])
     tag = F.conv(little, 16, 10).cast("long")
-    kept_cols = F.struct("doc", "line", "n", "entries", "low", "high")
+    # the earliest of all a class's lines stands for it; any task's entries will do, as all agree
+    payload = F.when(F.col("entries").isNotNull(), F.struct("n", "entries", "low", "high"))
     classes = (
-        lines.filter(F.col("entries").isNotNull())
-        .groupBy("digest")
-        .agg(F.min(kept_cols).alias("c"))
-        .select(F.struct("c.doc", F.col("c.line").cast("long").alias("line"), tag.alias("tag"), "c.n", "c.entries", "c.low", "c.high").alias("c"))
+        lines.groupBy("digest")
+        .agg(F.min(F.struct("doc", "line")).alias("f"), F.max(payload).alias("p"))
+        .filter("p IS NOT NULL")
+        .select(F.struct("f.doc", F.col("f.line").cast("long").alias("line"), tag.alias("tag"), "p.n", "p.entries", "p.low", "p.high").alias("c"))
     )
     ids = ["doc", "line", "tag"]
     gone: DataFrame | None = None
@@ -282,8 +300,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
             asks = open_.select(F.struct(*ids).alias("id"), F.lit(1).alias("asks"))
             listed = classes.withColumn("id", F.struct("c.doc", "c.line", "c.tag")).join(asks, "id", "left")
             listed = listed.select("c", F.coalesce("asks", F.lit(0)).alias("probe"))
-            tokens = space.write(listed.filter("probe = 1").select(F.explode("c.entries.token").alias("token")).distinct(), f"tokens-{number}")
-            few = listed.select("c", "probe", F.explode("c.entries").alias("e")).join(tokens, F.col("e.token") == F.col("token"), "left_semi")
+            tokens = space.write(listed.filter("probe = 1").select(F.explode("c.entries").alias("e")).select(F.shiftright("e", _KEY).alias("token")).distinct(), f"tokens-{number}")
+            few = listed.select("c", "probe", F.explode("c.entries").alias("e")).join(tokens, F.shiftright("e", _KEY) == F.col("token"), "left_semi")
             listed = few.select(F.col("c").withField("entries", F.array("e")).alias("c"), "probe")
         met = space.write(_meet(listed, threshold, k, open_ is not None).distinct(), f"met-{number}")
         pairs = met.filter("to_line >= 0")
