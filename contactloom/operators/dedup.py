@@ -4,12 +4,15 @@ Reads are taken by (chrms1, cuts1) and, for ties, by cuts2 and all else.  One th
 removes later reads with equal chrms2 and strands whose cuts1 is less than ``offset`` farther and
 whose distance (sum or max over both sides) is less than ``offset``.  Removed reads remove none.
 
-Only reads that agree in chromosomes and strands meet, and none farther apart than ``offset``: a gap
-of that much in cuts1 ends a chain.  Gaps are found by a window, and chains are groups of their own.
+Only reads that agree in chromosomes and strands meet, and none farther apart than ``offset``.  So
+positions are cut into blocks of ``offset``; an empty block ends a chain, and chains are worked off on
+their own.  Chains are found on the table of blocks that hold reads, not on the reads.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,17 +34,41 @@ def greedy_keep(p1: np.ndarray, p2: np.ndarray, offset: int, method: str = "max"
 
 
 def quasi_duplicates(contacts: DataFrame, offset: int = 500, method: str = "max") -> DataFrame:
-    """The reads that stay, of canonical contacts."""
+    """The reads that stay, of canonical contacts.  The contact schema has no nulls."""
     schema, names = contacts.schema, contacts.columns
-    w = Window.partitionBy(*KEYS).orderBy("cuts1")
-    gap = (F.col("cuts1") - F.lag("cuts1").over(w)) >= offset
-    own = contacts.withColumn("_new", F.coalesce(gap.cast("int"), F.lit(1)))
-    own = own.withColumn("_chain", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
+    block = F.expr(f"cuts1 div {offset}")
+    w = Window.partitionBy(*KEYS).orderBy("_block")
+    blocks = contacts.select(*KEYS, block.alias("_block")).distinct()
+    blocks = blocks.withColumn("_new", F.coalesce((F.col("_block") - F.lag("_block").over(w) > 1).cast("int"), F.lit(1)))
+    chains = blocks.withColumn("_chain", F.sum("_new").over(w)).drop("_new")
+    own = contacts.withColumn("_block", block).join(chains, [*KEYS, "_block"]).select(*names, "_chain")
     rest = [c for c in names if c not in (*KEYS, "cuts1", "cuts2")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cuts1", "cuts2", *rest], kind="stable")
-        keep = greedy_keep(rows["cuts1"].to_numpy(np.int64), rows["cuts2"].to_numpy(np.int64), offset, method)
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        """Whole chains, in order."""
+        key = rows[[*KEYS, "_chain"]]
+        edge = np.flatnonzero((key.to_numpy()[1:] != key.to_numpy()[:-1]).any(1)) + 1
+        p1, p2 = rows["cuts1"].to_numpy(np.int64), rows["cuts2"].to_numpy(np.int64)
+        keep = np.ones(len(rows), bool)
+        for span in np.split(np.arange(len(rows)), edge):
+            if len(span) > 1:
+                keep[span] = greedy_keep(p1[span], p2[span], offset, method)
         return rows[keep][names]
 
-    return own.groupBy(*KEYS, "_chain").applyInPandas(run, schema)
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last chain may go on in the next batch
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            key = rows[[*KEYS, "_chain"]].to_numpy()
+            same = (key == key[-1]).all(1)
+            first = 0 if same.all() else len(rows) - int(np.argmin(same[::-1]))
+            held = rows[first:]
+            if first:
+                yield work(rows[:first])
+        if held is not None:
+            yield work(held)
+
+    placed = own.repartition(*KEYS, "_chain").sortWithinPartitions(*KEYS, "_chain", "cuts1", "cuts2", *rest)
+    return placed.mapInPandas(scan, schema)
