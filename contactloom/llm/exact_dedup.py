@@ -110,6 +110,8 @@ def dedup(
     state = DigestState(space, space.path("arrivals"), arrivals.schema, files_per_batch)
     state.advance()
     groups = state.groups() if _has_rows(space, "updates") else arrivals.groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    # written first: a join of two tables can split a digest that most rows have
+    groups = space.write(groups, "groups")
     members = space.write(
         arrivals.withColumnRenamed("first", "own")
         .join(groups, "digest")
@@ -122,7 +124,7 @@ def dedup(
         ),
         "members",
     )
-    space.drop("stream", "updates", "arrivals")
+    space.drop("stream", "updates", "arrivals", "groups")
     different = _differing(space, slim, members, digest)
     if different is None:
         return members
