@@ -255,13 +255,13 @@ def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> Data
                 own = [sorted(set(words(t))) for t in batch.column(2).take(take).to_pylist()]
                 tags = [int.from_bytes(_digest(ws)[:4], "little") for ws in own]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take).cast(pa.int64()), pa.array(tags, pa.int64()), pa.array(own, pa.list_(pa.binary()))],
+                    [batch.column(0).take(take), batch.column(1).take(take).cast(pa.int64()), pa.array(tags, pa.int64()), pa.array([[w.decode("utf-8", "surrogatepass") for w in ws] for ws in own], pa.list_(pa.string()))],
                     names=["doc", "line", "tag", "words"],
                 )
 
     lines = texts.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
     lines = lines.withColumn("line", F.col("line").cast("long")).select("doc", "line", "content", place.alias("p"))
-    return lines.mapInArrow(scan, "doc long, line long, tag long, words array<binary>").distinct().join(wanted, ["doc", "line", "tag"], "left_semi")
+    return lines.mapInArrow(scan, "doc long, line long, tag long, words array<string>").distinct().join(wanted, ["doc", "line", "tag"], "left_semi")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 1_000_000, best: int = 16) -> DataFrame:
