@@ -138,7 +138,7 @@ def domains_plain(m: np.ndarray, k: int) -> np.ndarray:
 
 DOMAINS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
     "default": domains_default, "lieberman": domains_correlation, "erez": domains_correlation, "lieberman+": domains_default,
-    "erez+": domains_default, "metaphasepaper": domains_balanced, "geoff": domains_balanced, "lieberman-": domains_plain, "erez-": domains_plain,
+    "erez+": domains_default, "metaphasepaper": domains_balanced, "lieberman-": domains_plain, "erez-": domains_plain,
 }
 
 
