@@ -3,17 +3,18 @@
 A token that isn't plainly a word (leetspeak, inner punctuation, a letter three times in a row,
 letters spaced out) is a lattice of characters: at each place a character stands for itself, for a
 letter that it looks like, for the letter before it once more, or for nothing.  Viterbi decoding
-finds the most likely letters under a character trigram model that was counted on the labelled
-sample's plain words.  The restored text is scored by logistic regression on the presence of its
+finds the most likely letters under a character trigram model that was counted on the plain words
+of all texts, labelled or not.  The restored text is scored by logistic regression on the presence of its
 words and of their first letters (stems, for inflected words).
 
-The model is fitted on at most ``sample_rows`` labelled rows, those smallest by a hash of doc_id,
-so a larger corpus makes a fit no slower.  Scoring reads whole texts, and nothing but texts.
+The regression is fitted on at most ``sample_rows`` labelled rows, those smallest by a hash of
+doc_id.  Scoring reads whole texts, and nothing but texts.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,6 +166,43 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def count_trigrams(texts: DataFrame, words: int = 20_000, held: int = 50_000) -> dict[str, int]:
+    """How many times texts have a trigram in their distinct plain words, over all of ``texts``.
+
+    Tasks add up ``words`` words and ``held`` trigrams at a time before they pass them on.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Counter = Counter()  # texts with a token
+        found: dict[str, int] = {}
+
+        def pour() -> None:
+            for token, n in own.items():
+                word = token.strip(AROUND)
+                if word.isalpha():
+                    for t in trigrams(word):
+                        found[t] = found.get(t, 0) + n
+            own.clear()
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["tri", "n"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                own.update(set(text.as_py().lower().split()))
+                if len(own) >= words:
+                    pour()
+                    if len(found) >= held:
+                        yield told()
+        pour()
+        yield told()
+
+    counted = texts.select("text").mapInArrow(count, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n"))
+    return {r["tri"]: r["n"] for r in counted.collect()}
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, features: int = 512) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
@@ -181,19 +219,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: in
     # an id may repeat in docs; the bound holds all the same
     sample = sample.limit(2 * sample_rows)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, int] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for token in set(text.lower().split()):
-                    word = token.strip(AROUND)
-                    if word.isalpha():
-                        for t in trigrams(word):
-                            found[t] = found.get(t, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["tri", "n"])
-
-    counted = sample.select("text").mapInArrow(count, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n"))
-    letters = CharModel({r["tri"]: r["n"] for r in counted.orderBy(F.desc("n"), "tri").limit(200_000).collect()})
+    letters = CharModel(count_trigrams(texts))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}

@@ -166,3 +166,19 @@ def test_toxicity_held_out_and_disguised(spark, edge, rows, nothing):
     assert toxicity.keep_clean(edge, model).columns == edge.columns
     none = toxicity.fit(spark, nothing, labels)
     assert none.score("anything") < 0.5
+
+
+def test_letters_are_counted_on_all_texts(spark):
+    docs, labels = _toxic_table(spark)
+    others = [(1000 + i, f"walrus the {w}") for i, w in enumerate(["and", "Walrus!", "are", "walrus walrus"])]
+    docs = docs.union(spark.createDataFrame(others, docs.schema))
+    model = toxicity.fit(spark, docs, labels, sample_rows=100)
+    assert toxicity.restored("wa1rus", model.letters) == "walrus"
+    texts = [r.text for r in docs.collect()]
+    words = [w for t in texts for token in set(t.lower().split()) if (w := token.strip(toxicity.AROUND)).isalpha()]
+    want = {}
+    for w in words:
+        for t in toxicity.trigrams(w):
+            want[t] = want.get(t, 0) + 1
+    assert model.letters.counts == want
+    assert toxicity.count_trigrams(docs, words=3, held=5) == want
