@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,12 +107,13 @@ def _kind(c: str) -> int:
 
 
 def features(text: str, start: int, end: int, dictionary: Dictionary) -> list[float]:
-    own = text[start:end][:400]  # shape of the string; its length counts whole
+    own = text[start:end]
     n = len(own)
     kinds = [_kind(c) for c in own]
     counts = [kinds.count(k) / n for k in range(4)]
     passes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
-    entropy = -sum(own.count(c) / n * math.log2(own.count(c) / n) for c in set(own))
+    letters = Counter(own)
+    entropy = -sum(k / n * math.log2(k / n) for k in letters.values())
     run = longest = 0
     for c in own:
         run = run + 1 if c.isalpha() else 0
@@ -138,7 +140,7 @@ def features(text: str, start: int, end: int, dictionary: Dictionary) -> list[fl
         float(any(w in GOOD_CUES or any(g in w for g in ("password", "secret", "token", "apikey")) for w in near)),
         float(any(w in BAD_CUES for w in near)),
         float(own.startswith(PREFIXES)),
-        max(own.count(c) for c in set(own)) / n,
+        max(letters.values()) / n,
     ]
 
 

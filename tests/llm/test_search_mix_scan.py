@@ -139,6 +139,17 @@ def test_secrets_on_held_out_findings(edge, rows, nothing):
     assert {r.doc_id: len(r.secrets) for r in secrets.scan_documents(df, forest, dictionary).collect()} == {1: 1, 2: 0, 3: 1}
 
 
+def test_secrets_read_long_candidates_whole():
+    dictionary, r = secrets.Dictionary.public(), random.Random(4)
+    head, letters = "the" + "/some/path/12" * 300, "ABCDEFabcdef0123456789"
+    plain, key = "/some/path/12" * 40, "".join(r.choice(letters) for _ in range(520))
+    one, two = (dict(zip(secrets.FEATURES, secrets.features(f"key {head}{t} is", 4, 4 + len(head + t), dictionary), strict=True)) for t in (plain, key))
+    assert one["length"] == two["length"] > 4000
+    for name in ("digits", "upper", "lower", "other", "passes", "entropy", "pairs", "dictionary", "slashes", "repeats"):
+        assert one[name] != two[name], name
+    assert one["slashes"] == (head + plain).count("/") and two["digits"] == sum(c.isdigit() for c in head + key) / len(head + key)
+
+
 def _toxic_table(spark, n=600):
     r = random.Random(8)
     good, bad = [f"{a}{b}" for a in ("the", "and", "ing", "ion", "ent") for b in ("re", "on", "as", "ti", "", "ou")], ["idiot", "moron", "scum"]
