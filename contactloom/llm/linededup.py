@@ -10,17 +10,17 @@ the earlier one stays itself or not.
 2. Lines with equal sets are one class, known by a digest; the earliest line stands for it.
 3. A class of n words is listed under its first n - ceil(threshold * n) + 1 words.  Similar classes
    share such a word.  A word whose bucket sum is above ``list_rows`` is split into parts, and
-   every two parts meet in a list of their own.
+   every two parts meet in a list of their own.  A task sends its entries as column blocks, one
+   for each bundle of lists.
 4. In a list, pairs are tested by length, by position (words behind the shared one must suffice)
    and by parity bitmaps (bits that differ can't outnumber words that differ).  A later class
-   keeps its ``best`` nearest earlier ones, and whether there were more.
+   keeps its ``best`` nearest earlier ones; a list in which some class had more is kept whole.
 5. The kept pairs are verified on the words themselves.  Classes that no pair decides and that had
-   more go through steps 3 to 5 again with many more kept, until none is left.
+   more meet all their earlier candidates in the lists that were kept, which decides them.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import WORD, Workspace, text_or_empty
 
 LAST = (1 << 63) - 1
-#: An entry of a list packs its key (31 bits), the word's place (29) and its side (2).
-_KEY, _PLACE = 31, 2
+#: Columns of a block of entries, in its order of bytes.
+ENTRY = (("token", "<u4"), ("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "<i1"))
+#: Characters that are split into words at a time.
+PIECE = 1 << 21
 
 
 def need(n: int, m: int, threshold: float) -> int:
@@ -56,41 +58,68 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _digest(ws: list[bytes]) -> bytes:
-    """Of sorted words."""
-    return hashlib.blake2b(b" ".join(ws), digest_size=16).digest()
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc, the doc_id with null last; uid, which tells texts of one doc_id apart; text."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    return docs.select(doc.alias("doc"), F.xxhash64(doc, text_or_empty()).alias("uid"), F.col("text").cast("string").alias("text"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Lines:
+    """The lines of some texts that have words, with their words as columns."""
 
+    def __init__(self, row: np.ndarray, place: np.ndarray, line: np.ndarray, code: np.ndarray, words: list[bytes]):
+        self.row, self.place = row, place  # of each line: its text and its place there
+        self.line, self.code, self.words = line, code, words  # of each word: its line and number; the words
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
 
+def lines_of(texts: pa.Array) -> Iterator[Lines]:
+    """Lines of texts, some at a time; a line is never cut."""
+    import pyarrow.compute as pc
 
-def rarity(texts: DataFrame, buckets: int) -> np.ndarray:
-    """Sums of word counts by bucket."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for first, last in _pieces(sizes):
+        some = texts.slice(first, last - first)
+        split = pc.split_pattern(pc.ascii_lower(some), "\n")
+        every, row = split.flatten(), pc.list_parent_indices(split).to_numpy()
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        for a, b in _pieces(pc.binary_length(every).to_numpy(zero_copy_only=False)):
+            parts = pc.ascii_split_whitespace(every.slice(a, b - a))
+            flat = parts.flatten().dictionary_encode()
+            line, code = pc.list_parent_indices(parts).to_numpy(), flat.indices.to_numpy()
+            own = flat.dictionary.cast(pa.binary()).to_pylist()
+            if b"" in own:  # white space at a line's ends
+                some_word = code != own.index(b"")
+                line, code = line[some_word], code[some_word]
+            yield Lines(row[a:b] + first, place[a:b], line.astype(np.int64), code.astype(np.int64), own)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
 
-        sums = np.zeros(buckets, np.int64)
-        held: Counter = Counter()
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of about PIECE in all, at least one each."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
+        yield first, last
+        first = last
 
-        import xxhash
 
-        def pour() -> None:
-            at = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in held), np.int64, len(held))
-            np.add.at(sums, at, np.fromiter(held.values(), np.int64, len(held)))
-            held.clear()
+def _hashes(own: list[bytes]) -> np.ndarray:
+    """Two rows of 64-bit hashes of the words."""
+    import xxhash
+
+    return np.ascontiguousarray(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), "<u8").reshape(-1, 2).T)
 
+
+def rarity(texts: DataFrame, buckets: int) -> np.ndarray:
+    """Sums of word counts by bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words(text))
-                if len(held) > 500_000:
-                    pour()
-        pour()
+            for lines in lines_of(batch.column(0)):
+                at = (_hashes(lines.words)[0] % np.uint64(buckets)).astype(np.int64)
+                sums += np.bincount(at, np.bincount(lines.code, minlength=len(at)), buckets).astype(np.int64)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["bucket", "n"])
 
@@ -100,148 +129,272 @@ def rarity(texts: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def _lines(texts: DataFrame, sums, threshold: float, list_rows: int) -> DataFrame:
-    """A row per line with words: doc, line, digest, n; and for a digest's first line in a task the
-    entries of its lists and its bitmaps, if any other set can be similar."""
+def sets_of(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, code, first, hashes): a line's distinct words in one run, where the runs begin, and the
+    words' hashes."""
+    many = max(1, len(lines.words))
+    key = np.unique(lines.line * many + lines.code)
+    line = key // many
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+    return line, key - line * many, first, _hashes(lines.words)
+
+
+def digests(code: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell a set of words: sums of the words' hashes, whatever the order."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.add.reduceat(h[code], first).view(np.int64) for h in hashes)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from functools import reduce
-        from operator import xor
 
+def _ordered(lines: Lines, sums: np.ndarray, shift: int) -> tuple[Lines, np.ndarray]:
+    """The same with words numbered by rank, rare ones first, and their sums."""
+    one = _hashes(lines.words)[0]
+    own = sums[(one % np.uint64(len(sums))).astype(np.int64)]
+    order = np.argsort((own >> shift << 44) | (one >> np.uint64(20)).astype(np.int64), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return Lines(lines.row, lines.place, lines.line, rank[lines.code], [lines.words[i] for i in order]), own[order]
+
+
+def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int, flush: int = 1_000_000) -> DataFrame:
+    """Rows of two kinds: lines with words (doc, uid, line, d0, d1, lead: the text's first), and
+    blocks of entries for a bundle of lists."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        import zstandard
+
+        own = sums.value
+        shift = max(0, int(own.max(initial=0)).bit_length() - 19)  # the largest sum in 19 bits
+        kinds = {"bundle": pa.int32(), "block": pa.binary(), "doc": pa.int64(), "uid": pa.int64(), "line": pa.int32(), "d0": pa.int64(), "d1": pa.int64(), "lead": pa.bool_()}
+        held: list[dict[str, np.ndarray]] = []
+        seen: dict[int, tuple[int, int]] = {}  # classes that this task has listed, with their age there
+
+        def rows(size: int, **cols) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            e = {c: np.concatenate([h[c] for h in held]) for c, _ in ENTRY}
+            held.clear()
+            if not len(e["token"]):
+                return
+            bundle = (e["token"].astype(np.int64) * bundles) >> 32
+            order = np.argsort(bundle, kind="stable")
+            bundle, e = bundle[order], {c: np.ascontiguousarray(e[c][order].astype(t)) for c, t in ENTRY}
+            pack = zstandard.ZstdCompressor(level=1).compress
+            starts = np.flatnonzero(np.r_[True, bundle[1:] != bundle[:-1]])
+            for some in np.array_split(np.arange(len(starts)), max(1, len(starts) // 64)):
+                made = [pack(b"".join(e[c][starts[i] : starts[i + 1] if i + 1 < len(starts) else None].tobytes() for c, _ in ENTRY)) for i in some]
+                yield rows(len(some), bundle=bundle[starts[some]].astype(np.int32), block=made)
 
-        own = sums.value.tolist()
-        # sums are coarsened until the largest fits in 19 bits; the order stays one order for all
-        buckets, shift = len(own), max(0, max(own, default=0).bit_length() - 19)
-        known: dict[bytes, int] = {}  # a word's rank: its bucket's sum, then 44 bits of its hash
-        marks: dict[bytes, int] = {}  # a word's bit in the bitmaps
-        seen: set[bytes] = set()
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-        names = ["doc", "line", "digest", "n", "entries", "low", "high"]
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                for place, line in enumerate(raw.split(b"\n")):
-                    ws = sorted(set(line.split()))
-                    if not ws:
-                        continue
-                    n = len(ws)
-                    digest = _digest(ws)
-                    entries, bits = None, 0
-                    if digest not in seen:
+            ids, uids = (batch.column(i).to_numpy() for i in (0, 1))
+            last_row = -1
+            for lines in lines_of(batch.column(2)):
+                lines, own_sums = _ordered(lines, own, shift)
+                line, code, first, hashes = sets_of(lines)
+                if not len(first):
+                    continue
+                d0, d1 = digests(code, first, hashes)
+                n = np.diff(np.r_[first, len(line)])
+                row, place = lines.row[line[first]], lines.place[line[first]].astype(np.int32)
+                doc, uid = ids[row], uids[row]
+                lead = np.r_[row[0] != last_row, row[1:] != row[:-1]]
+                last_row = int(row[-1])
+                yield rows(len(n), bundle=(uid + place) % bundles, doc=doc, uid=uid, line=place, d0=d0, d1=d1, lead=lead)
+                # list classes that a different set can be similar to, once unless an earlier line comes
+                fresh = n / (n + 1) >= threshold
+                for i, cls, age in zip(np.flatnonzero(fresh).tolist(), d0[fresh].tolist(), zip(doc[fresh].tolist(), place[fresh].tolist(), strict=True), strict=True):
+                    if cls in seen and seen[cls] <= age:
+                        fresh[i] = False
+                    else:
                         if len(seen) > 300_000:
                             seen.clear()
-                        seen.add(digest)
-                        if n / (n + 1) >= threshold:
-                            try:
-                                ranked = sorted(map(known.__getitem__, ws))
-                            except KeyError:
-                                if len(known) > 400_000:
-                                    known.clear()
-                                    marks.clear()
-                                for w in ws:
-                                    if w not in known:
-                                        h = xxhash.xxh3_64_intdigest(w)
-                                        known[w] = own[h % buckets] >> shift << 44 | h >> 20
-                                        marks[w] = 1 << (h >> 8 & 127)
-                                ranked = sorted(map(known.__getitem__, ws))
-                            bits = reduce(xor, map(marks.__getitem__, ws))
-                            entries = []
-                            for pos, rank in enumerate(ranked[: prefix_length(n, threshold)]):
-                                parts = 1 + (rank >> 44 << shift) // list_rows
-                                if parts == 1:
-                                    entries.append((rank & 0x7FFFFFFF) << _KEY | pos << _PLACE | 2)
-                                else:
-                                    part = int.from_bytes(digest[:8], "little") % parts
-                                    for other in range(parts):
-                                        pair = xxhash.xxh3_64_intdigest(b"%d %d %d" % (rank, min(part, other), max(part, other)))
-                                        entries.append((pair & 0x7FFFFFFF) << _KEY | pos << _PLACE | (2 if part == other else int(part > other)))
-                    for col, v in zip(cols, (doc, place, digest, n, entries, _signed(bits & ((1 << 64) - 1)), _signed(bits >> 64)), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    return texts.mapInArrow(scan, "doc long, line int, digest binary, n int, entries array<long>, low long, high long")
-
-
-def _meet(listed: DataFrame, threshold: float, best: int, probes: bool) -> DataFrame:
-    """(doc, line, tag) of later classes with (to_doc, to_line, to_tag) of their ``best`` nearest
-    earlier candidates in each list; to_line is -1 where a list had more."""
+                        seen[cls] = age
+                bit, half = np.uint64(1) << (hashes[1] & np.uint64(63)), hashes[1] >> np.uint64(6) & np.uint64(1)
+                low, high = (np.bitwise_xor.reduceat((bit * (half == k))[code], first) for k in (0, 1))
+                at = np.repeat(np.arange(len(n)), n)
+                pos = np.arange(len(line)) - first[at]
+                use = np.flatnonzero(fresh[at] & (pos < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[at]))
+                at, pos, word = at[use], pos[use], code[use]
+                parts = 1 + own_sums[word] // list_rows
+                token = (hashes[0] >> np.uint64(16) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[word]
+                side = np.full(len(at), 2, np.int8)
+                if (parts > 1).any():
+                    again = np.repeat(np.arange(len(at)), parts)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    at, pos, token, parts = at[again], pos[again], token[again], parts[again]
+                    part = d0.view(np.uint64)[at] % parts.astype(np.uint64)
+                    part = part.astype(np.int64)
+                    side = np.where(part == other, 2, part > other).astype(np.int8)
+                    for i in np.flatnonzero(parts > 1):
+                        token[i] = xxhash.xxh32_intdigest(b"%d %d %d" % (token[i], min(part[i], other[i]), max(part[i], other[i])))
+                held.append({"token": token, "cls": d0[at], "low": low[at], "high": high[at], "doc": doc[at], "line": place[at], "n": n[at], "pos": pos, "side": side})
+                if sum(len(h["token"]) for h in held) >= flush:
+                    yield from blocks()
+        yield from blocks()
+
+    return texts.mapInArrow(scan, "bundle int, block binary, doc long, uid long, line int, d0 long, d1 long, lead boolean")
+
+
+def _nearest(e: dict[str, np.ndarray], threshold: float, best: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(later, earlier, more) of entries sorted by token and n: for each later entry that asks its
+    ``best`` nearest earlier candidates, all if None; more: entries that had others."""
+    token, n, pos, side, doc, line, cls = (e[c] for c in ("token", "n", "pos", "side", "doc", "line", "cls"))
+    low, high, asks = e["low"], e["high"], e.get("asks")
+    size = len(token)
+    count = np.zeros(size, np.int64)
+    top = np.full((size if best else 0, best or 0), LAST, np.int64)
+    none = np.zeros(0, np.int64)
+    at, step = np.arange(size - 1), 1
+    while len(at := at[at < size - step]):
+        # sorted by word and size: once the other is too large, all behind it are
+        at = at[(token[at] == token[at + step]) & (n[at] >= threshold * n[at + step] - 1e-9)]
+        a, b = at, at + step
+        if asks is not None:
+            ok = asks[a] | asks[b]
+            a, b = a[ok], b[ok]
+        share = np.ceil(threshold / (1 + threshold) * (n[a] + n[b]) - 1e-9).astype(np.int64)
+        ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= share) & ((side[a] != side[b]) | (side[a] == 2)) & (cls[a] != cls[b])
+        a, b, share = a[ok], b[ok], share[ok]
+        apart = (np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])).astype(np.int64)
+        ok = apart <= n[a] + n[b] - 2 * share
+        a, b, apart = a[ok], b[ok], apart[ok]
+        if len(a):
+            first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & ((line[a] < line[b]) | ((line[a] == line[b]) & (cls[a] < cls[b]))))
+            for later, earlier, d in ((b[first], a[first], apart[first]), (a[~first], b[~first], apart[~first])):
+                if asks is not None:
+                    use = asks[later]
+                    later, earlier, d = later[use], earlier[use], d[use]
+                if len(later) and best is None:
+                    yield later, earlier, none
+                elif len(later):  # at one step an entry is later once at most
+                    count[later] += 1
+                    worst = top[later].argmax(1)
+                    key = d << 40 | earlier
+                    closer = key < top[later, worst]
+                    top[later[closer], worst[closer]] = key[closer]
+        step += 1
+    if best:
+        y, k = np.nonzero(top != LAST)
+        yield y, top[y, k] & ((1 << 40) - 1), np.flatnonzero(count > best)
+
+
+_PAIR = "doc long, line long, cls long, to_doc long, to_line long, to_cls long"
+
+
+def _pairs(e: dict[str, np.ndarray], later: np.ndarray, earlier: np.ndarray) -> list[pa.Array]:
+    return [pa.array(e[c][rows].astype(np.int64)) for rows in (later, earlier) for c in ("doc", "line", "cls")]
+
+
+def _meet(scanned: DataFrame, threshold: float, best: int) -> DataFrame:
+    """Lines as they came; candidate pairs (doc, line, cls, to_doc, to_line, to_cls); and entries of
+    lists in which a class had more candidates than it kept (token, n, more ...)."""
+    columns = {"kind": pa.int8(), "doc": pa.int64(), "line": pa.int64(), "cls": pa.int64(), "to_doc": pa.int64(), "to_line": pa.int64(), "to_cls": pa.int64(), "uid": pa.int64(), "d1": pa.int64(), "lead": pa.bool_()}
+    columns |= {"token": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "side": pa.int8(), "low": pa.int64(), "high": pa.int64(), "more": pa.bool_()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None
-
-        def done(r: np.ndarray) -> Iterator[pa.RecordBatch]:
-            token, n, at, low, high, doc, line, tag = np.ascontiguousarray(r.T)
-            probe, side, pos = at & 1, at >> 1 & 3, at >> 1 + _PLACE
-            low, high = low.view(np.uint64), high.view(np.uint64)
-            size = len(token)
-            count = np.zeros(size, np.int64)
-            top = np.full((size, best), LAST, np.int64)
-            at, step = np.arange(size - 1), 1
-            while len(at := at[at < size - step]):
-                # sorted by word and size: once the other is too large, all behind it are
-                at = at[(token[at] == token[at + step]) & (n[at] >= threshold * n[at + step] - 1e-9)]
-                a, b = at, at + step
-                na, nb = n[a], n[b]
-                share = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9).astype(np.int64)
-                ok = 1 + np.minimum(na - pos[a] - 1, nb - pos[b] - 1) >= share
-                ok &= (side[a] != side[b]) | (side[a] == 2)
-                a, b, share = a[ok], b[ok], share[ok]
-                apart = (np.bitwise_count(low[a] ^ low[b]) + np.bitwise_count(high[a] ^ high[b])).astype(np.int64)
-                ok = (apart <= n[a] + n[b] - 2 * share) & ((doc[a] != doc[b]) | (line[a] != line[b]) | (tag[a] != tag[b]))
-                a, b, apart = a[ok], b[ok], apart[ok]
-                if len(a):
-                    first = (doc[a] < doc[b]) | ((doc[a] == doc[b]) & ((line[a] < line[b]) | ((line[a] == line[b]) & (tag[a] < tag[b]))))
-                    for later, earlier, d in ((b[first], a[first], apart[first]), (a[~first], b[~first], apart[~first])):
-                        use = probe[later] == 1
-                        later, earlier, d = later[use], earlier[use], d[use]
-                        if len(later):
-                            count[later] += 1
-                            keys = np.concatenate([top[later], (d << 40 | earlier)[:, None]], axis=1)
-                            keys.sort(axis=1)
-                            top[later] = keys[:, :best]
-                step += 1
-            y, k = np.nonzero(top != LAST)
-            x = top[y, k] & ((1 << 40) - 1)
-            more = np.flatnonzero(count > best)
-            none = np.full(len(more), -1)
-            cols = [np.concatenate([c[y], c[more]]) for c in (doc, line, tag)] + [np.concatenate([c[x], none]) for c in (doc, line, tag)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc", "line", "tag", "to_doc", "to_line", "to_tag"])
+        import zstandard
+
+        def rows(size: int, **cols) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(size, t) for c, t in columns.items()], names=list(columns))
+
+        def done(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+            unpack = zstandard.ZstdDecompressor().decompress
+            parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
+            wide = sum(np.dtype(t).itemsize for _, t in ENTRY)
+            for block in blocks:
+                raw = unpack(block)
+                size, at = len(raw) // wide, 0
+                for c, t in ENTRY:
+                    parts[c].append(np.frombuffer(raw, t, size, at))
+                    at += size * np.dtype(t).itemsize
+            e = {c: np.concatenate(p) for c, p in parts.items()}
+            # words of one list only once: alone they have no partner
+            order = np.argsort(e["token"], kind="stable")
+            t = e["token"][order]
+            some = np.r_[False, t[1:] == t[:-1]] | np.r_[t[1:] == t[:-1], False]
+            e = {c: v[order[some]] for c, v in e.items()}
+            order = np.lexsort((e["line"], e["doc"], e["cls"], e["n"], e["token"]))
+            e = {c: v[order] for c, v in e.items()}
+            # a class comes once for each task that has it: the earliest line counts
+            same = np.ones(len(order), bool)
+            same[:1] = False
+            for c in ("token", "cls", "low", "high", "side"):
+                same[1:] &= e[c][1:] == e[c][:-1]
+            e = {c: v[~same] for c, v in e.items()}
+            e |= {c: e[c].astype(np.int64) for c in ("n", "pos", "line")}
+            for later, earlier, more in _nearest(e, threshold, best):
+                if len(later):
+                    found = dict(zip(("doc", "line", "cls", "to_doc", "to_line", "to_cls"), _pairs(e, later, earlier), strict=True))
+                    yield rows(len(later), kind=pa.array(np.ones(len(later), np.int8)), **found)
+                if len(more):
+                    flag = np.zeros(len(e["n"]), bool)
+                    flag[more] = True
+                    kept = np.flatnonzero(np.isin(e["token"], e["token"][more]))
+                    cols = {c: pa.array(e[c][kept]).cast(columns[c]) for c in ("doc", "line", "cls", "token", "n", "pos", "side")}
+                    cols |= {c: pa.array(e[c][kept].view(np.int64)) for c in ("low", "high")}
+                    yield rows(len(kept), kind=pa.array(np.full(len(kept), 2, np.int8)), more=pa.array(flag[kept]), **cols)
+
+        bundle, held = None, []
+        for batch in batches:
+            is_line = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            if is_line.any():
+                own = batch.take(pa.array(np.flatnonzero(is_line)))
+                yield rows(
+                    own.num_rows, kind=pa.array(np.zeros(own.num_rows, np.int8)), doc=own.column(2), uid=own.column(3),
+                    line=own.column(4).cast(pa.int64()), cls=own.column(5), d1=own.column(6), lead=own.column(7),
+                )
+            for i in np.flatnonzero(~is_line).tolist():
+                if bundle != (now := batch.column(0)[i].as_py()):
+                    if held:
+                        yield from done(held)
+                    bundle, held = now, []
+                held.append(batch.column(1)[i].as_py())
+        if held:
+            yield from done(held)
+
+    schema = "kind byte, " + _PAIR + ", uid long, d1 long, lead boolean, token long, n int, pos int, side byte, low long, high long, more boolean"
+    return scanned.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(scan, schema)
+
+
+def _meet_rest(entries: DataFrame, threshold: float) -> DataFrame:
+    """All earlier candidates of the entries that ask, within their lists."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            e = {c: t.column(c).to_numpy() for c in t.column_names}
+            e |= {c: e[c].view(np.uint64) for c in ("low", "high")}
+            e |= {"asks": e["asks"].astype(bool), "n": e["n"].astype(np.int64), "pos": e["pos"].astype(np.int64)}
+            for later, earlier, _ in _nearest(e, threshold, None):
+                yield pa.RecordBatch.from_arrays(_pairs(e, later, earlier), names=["doc", "line", "cls", "to_doc", "to_line", "to_cls"])
+
+        held: pa.Table | None = None
         for batch in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            if held is not None and len(held):
-                rows = np.concatenate([held, rows])
-            if not len(rows):
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not rows.num_rows:
                 continue
-            same = rows[:, 0] == rows[-1, 0]
-            first = 0 if same.all() else len(rows) - int(np.argmin(same[::-1]))
-            held = rows[first:]
+            first = int(np.searchsorted(rows.column("token").to_numpy(), rows.column("token")[-1].as_py()))
+            held = rows.slice(first)
             if first:
-                yield from done(rows[:first])
-        if held is not None and len(held):
+                yield from done(rows.slice(0, first))
+        if held is not None and held.num_rows:
             yield from done(held)
 
-    rows = listed.select(F.explode("c.entries").alias("e"), "c", "probe" if probes else F.lit(1).alias("probe"))
-    token = F.shiftright("e", _KEY).cast("int").alias("token")
-    # place, side and whether it looks for others travel as one small number
-    rows = rows.select(token, "c.n", ((F.col("e") % (1 << _KEY)) * 2 + F.col("probe")).cast("int").alias("at"), "c.low", "c.high", "c.doc", "c.line", "c.tag")
-    return rows.repartition("token").sortWithinPartitions("token", "n", "doc", "line").mapInArrow(
-        scan, "doc long, line long, tag long, to_doc long, to_line long, to_tag long"
-    )
+    return entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(scan, _PAIR)
 
 
 def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """(doc, line, tag, words) of the wanted lines.  Tasks get a bit set of fixed size that tells
-    most other lines apart; the join that follows is exact."""
+    """(doc, line, cls, d1, words) of the wanted classes' lines.  Tasks get a bit set of fixed size that
+    tells most other lines apart; the join that follows is exact."""
     spark = texts.sparkSession
-    place = F.pmod(F.xxhash64("doc", "line"), F.lit(bits))
-    flags = np.zeros(bits // 8, np.uint8)
-    # 64-bit words of the set, so at most bits / 64 rows come to the driver
+    place = F.pmod(F.xxhash64("doc", F.col("line").cast("long")), F.lit(bits))
+    view = np.zeros(bits // 32, np.uint32)
+    # 32 bits a row, so at most bits / 32 rows come to the driver
     groups = wanted.select(place.alias("p")).groupBy((F.col("p") / 32).cast("long").alias("g")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 AS int))")).alias("w")).toPandas()
-    view = flags.view(np.uint32)
     view[groups["g"].to_numpy(np.int64)] = groups["w"].to_numpy(np.int64).astype(np.uint32)
     held = spark.sparkContext.broadcast(view)
 
@@ -250,95 +403,103 @@ def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> Data
         for batch in batches:
             p = batch.column(3).to_numpy()
             rows = np.flatnonzero(view[p // 32] >> (p % 32).astype(np.uint32) & 1)
-            if len(rows):
-                take = pa.array(rows)
+            for some in np.array_split(rows, 1 + len(rows) // 4096) if len(rows) else ():
+                take = pa.array(some)
                 own = [sorted(set(words(t))) for t in batch.column(2).take(take).to_pylist()]
-                tags = [int.from_bytes(_digest(ws)[:4], "little") for ws in own]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take).cast(pa.int64()), pa.array(tags, pa.int64()), pa.array([[w.decode("utf-8", "surrogatepass") for w in ws] for ws in own], pa.list_(pa.string()))],
-                    names=["doc", "line", "tag", "words"],
-                )
+                flat = [w for ws in own for w in ws]
+                first = np.cumsum([0, *map(len, own)])
+                code = np.arange(len(flat))
+                full = np.flatnonzero(np.diff(first))
+                d0, d1 = digests(code, first[full], _hashes(flat)) if flat else (np.zeros(0, np.int64),) * 2
+                kept = take.take(pa.array(full))
+                out = [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(d0), pa.array(d1)]
+                listed = pa.array([[w.decode("utf-8", "surrogatepass") for w in own[i]] for i in full.tolist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*out, listed], names=["doc", "line", "cls", "d1", "words"])
 
     lines = texts.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
     lines = lines.withColumn("line", F.col("line").cast("long")).select("doc", "line", "content", place.alias("p"))
-    return lines.mapInArrow(scan, "doc long, line long, tag long, words array<string>").distinct().join(wanted, ["doc", "line", "tag"], "left_semi")
+    found = lines.mapInArrow(scan, "doc long, line long, cls long, d1 long, words array<string>")
+    return found.join(wanted, ["doc", "line", "cls"], "left_semi").dropDuplicates(["doc", "line", "cls", "d1"])
+
 
+def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, threshold: float, name: str) -> DataFrame:
+    """(doc, line, cls, d1) of later classes of pairs that are similar."""
+    ids = ["doc", "line", "cls"]
+    wanted = space.write(pairs.select(*ids).unionByName(pairs.select(*[F.col(f"to_{c}").alias(c) for c in ids])).distinct(), f"wanted-{name}")
+    sets = space.write(_word_sets(texts, wanted), f"sets-{name}")
+    other = sets.select(*[F.col(c).alias(f"to_{c}") for c in ids], F.col("words").alias("to_words"))
+    both = F.size(F.array_intersect("words", "to_words"))
+    alike = both >= threshold * (F.size("words") + F.size("to_words") - both) - 1e-9
+    found = space.write(pairs.join(sets, ids).join(other, [f"to_{c}" for c in ids]).filter(alike).select(*ids, "d1").distinct(), f"found-{name}")
+    space.drop(f"wanted-{name}", f"sets-{name}")
+    return found
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 1_000_000, best: int = 16) -> DataFrame:
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 50_000, best: int = 16, bundle_words: int = 1 << 20) -> DataFrame:
     """``doc_id``, n_lines, n_removed and the text left of each row of ``docs`` (doc_id, text).
 
     Lines end at line feeds and have their words as elsewhere: separated by the space and the
     controls 9 to 13, A-Z lower-cased.  Lines without words stay.  A null text has no line and
-    stays null; an empty one has one line.  Rows that repeat a doc_id are one document: a line at
-    the same place in both is one line, and what goes from one goes from both.  A null doc_id
-    comes after all others, and its rows are one document.  An empty table gives an empty result.
-    Other columns, of any name, are not read.
+    stays null; an empty one has one line.  Null doc_ids come after all others.  Rows that repeat
+    a doc_id with another text are documents of their own, lines at one place ordered by their
+    words' digests and then by the texts' hashes.  Of rows that repeat doc_id and text, one is the
+    first, and lines with words go from all others.  An empty table gives an empty result.  Other
+    columns, of any name, are not read.
     """
     space = Workspace(spark, "line-dedup")
     texts = _texts(docs)
-    sums = spark.sparkContext.broadcast(rarity(texts, buckets))
-    lines = space.write(_lines(texts, sums, threshold, list_rows), "lines")
-    # the digest's first four bytes as a number tell classes apart that start at one place
-    little = F.concat(*[F.substring(F.hex("digest"), 7 - 2 * i, 2) for i in range(4)])
-    tag = F.conv(little, 16, 10).cast("long")
-    # the earliest of all a class's lines stands for it; any task's entries will do, as all agree
-    payload = F.when(F.col("entries").isNotNull(), F.struct("n", "entries", "low", "high"))
-    classes = (
-        lines.groupBy("digest")
-        .agg(F.min(F.struct("doc", "line")).alias("f"), F.max(payload).alias("p"))
-        .filter("p IS NOT NULL")
-        .select(F.struct("f.doc", F.col("f.line").cast("long").alias("line"), tag.alias("tag"), "p.n", "p.entries", "p.low", "p.high").alias("c"))
-    )
-    ids = ["doc", "line", "tag"]
-    gone: DataFrame | None = None
-    open_: DataFrame | None = None
-    k = best
-    for number in range(20):
-        listed = classes
-        if open_ is not None:
-            # only lists that an undecided class is in matter now; it alone looks for others
-            asks = open_.select(F.struct(*ids).alias("id"), F.lit(1).alias("asks"))
-            listed = classes.withColumn("id", F.struct("c.doc", "c.line", "c.tag")).join(asks, "id", "left")
-            listed = listed.select("c", F.coalesce("asks", F.lit(0)).alias("probe"))
-            tokens = space.write(listed.filter("probe = 1").select(F.explode("c.entries").alias("e")).select(F.shiftright("e", _KEY).alias("token")).distinct(), f"tokens-{number}")
-            few = listed.select("c", "probe", F.explode("c.entries").alias("e")).join(tokens, F.shiftright("e", _KEY) == F.col("token"), "left_semi")
-            listed = few.select(F.col("c").withField("entries", F.array("e")).alias("c"), "probe")
-        met = space.write(_meet(listed, threshold, k, open_ is not None).distinct(), f"met-{number}")
-        pairs = met.filter("to_line >= 0")
-        more = met.filter("to_line < 0").select(*ids).distinct()
-        wanted = space.write(pairs.select(*ids).unionByName(pairs.select(*[F.col(f"to_{c}").alias(c) for c in ids])).distinct(), f"wanted-{number}")
-        sets = space.write(_word_sets(texts, wanted), f"sets-{number}")
-        other = sets.select(*[F.col(c).alias(f"to_{c}") for c in ids], F.col("words").alias("to_words"))
-        both = F.size(F.array_intersect("words", "to_words"))
-        alike = both >= threshold * (F.size("words") + F.size("to_words") - both) - 1e-9
-        found = space.write(pairs.join(sets, ids).join(other, [f"to_{c}" for c in ids]).filter(alike).select(*ids).distinct(), f"found-{number}")
-        gone = found if gone is None else gone.unionByName(found)
-        space.drop(f"sets-{number}", f"wanted-{number}")
-        open_ = space.write(more.join(found, ids, "left_anti"), f"open-{number}")
-        if open_.isEmpty():
-            break
-        k = min(k * 32, 1 << 20)
-    firsts = space.write(lines.groupBy("digest").agg(F.min(F.struct("doc", "line")).alias("first")).select("digest", "first", tag.alias("tag")), "firsts")
-    out = firsts.join(
-        gone.select(F.struct("doc", F.col("line").cast("int").alias("line")).alias("first"), "tag", F.lit(True).alias("gone")), ["first", "tag"], "left"
-    )
-    out = space.write(out.select("digest", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "decided")
-    dropped = lines.select("doc", "line", "digest").join(out, "digest")
-    dropped = dropped.filter(F.col("gone") | (F.col("first") != F.struct("doc", "line"))).groupBy("doc").agg(F.collect_set("line").alias("dropped"))
-    dropped = space.write(dropped, "dropped")
-    space.drop("lines", "firsts", "decided")
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counted = rarity(texts, buckets)
+    bundles = int(min(max(1, counted.sum() // bundle_words), 1 << 30))
+    sums = spark.sparkContext.broadcast(counted)
+    met = space.write(_meet(_scan(texts, sums, threshold, list_rows, bundles), threshold, best), "met")
+    ids = ["doc", "line", "cls"]
+    found = _verified(space, texts, met.filter("kind = 1").select(*ids, "to_doc", "to_line", "to_cls").distinct(), threshold, "first")
+    entries = met.filter("kind = 2")
+    asking = space.write(entries.filter("more").select(*ids).distinct().join(found, ids, "left_anti"), "asking")
+    if not asking.isEmpty():
+        asks = asking.select(*ids, F.lit(True).alias("asks"))
+        rest = entries.join(asks, ids, "left").select(*ids, "token", "n", "pos", "side", "low", "high", F.coalesce("asks", F.lit(False)).alias("asks"))
+        again = space.write(_meet_rest(rest, threshold).distinct(), "again")
+        found = found.unionByName(_verified(space, texts, again, threshold, "rest"))
+
+    lines = met.filter("kind = 0").select("doc", "line", "uid", F.col("cls").alias("d0"), "d1", "lead")
+    first = F.min(F.struct("doc", "line", "uid"))
+    classes = lines.groupBy("d0", "d1").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = found.select(F.col("cls").alias("d0"), "d1").distinct().withColumn("gone", F.lit(True))
+    decided = space.write(classes.join(gone, ["d0", "d1"], "full").select("d0", "d1", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "decided")
+    out = lines.join(decided, ["d0", "d1"]).filter(F.col("gone") | (F.col("first") != F.struct("doc", "line", "uid")))
+    out = out.groupBy("doc", "uid").agg(F.collect_set("line").alias("dropped"))
+    # rows with one doc_id and text are alike: the first keeps what the class leaves it
+    twice = lines.filter("lead").groupBy("doc", "uid").agg(F.count("*").alias("times")).filter("times > 1")
+    out = space.write(out.join(twice, ["doc", "uid"], "full"), "dropped")
+    twice = out.filter("times IS NOT NULL")
+    space.drop("met", "decided", "asking", "again", "found-first", "found-rest")
+
+    def rest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, left = [], [], []
-            for text, gone_ in zip(batch.column(1), batch.column(2), strict=True):
-                text, gone_ = text.as_py(), set(gone_.as_py() or ())
+            for text, dropped in zip(batch.column(1), batch.column(2), strict=True):
+                text, dropped = text.as_py(), set(dropped.as_py() or ())
                 own = [] if text is None else text.split("\n")
-                kept = [line for i, line in enumerate(own) if i not in gone_]
+                kept = [line for i, line in enumerate(own) if i not in dropped]
                 n.append(len(own))
                 m.append(len(own) - len(kept))
                 left.append(None if text is None else "\n".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_lines", "n_removed", "text"])
-
-    joined = texts.join(dropped, "doc", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "dropped")
-    return joined.mapInArrow(rest, "doc_id long, n_lines long, n_removed long, text string")
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(left, pa.string()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_lines", "n_removed", "text", "times"])
+
+    schema = "doc_id long, n_lines long, n_removed long, text string, times long"
+    doc_id = F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id")
+    every = texts.join(out, ["doc", "uid"], "left")
+    once = every.filter("times IS NULL").select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(rest_of, schema)
+    if twice.isEmpty():
+        return once.drop("times")
+    # of rows that repeat doc_id and text one travels on, with their number
+    alike = texts.join(out.filter("times IS NOT NULL").select("doc", "uid"), ["doc", "uid"], "left_semi").groupBy("doc", "uid").agg(F.first("text").alias("text"))
+    alike = space.write(alike.join(out, ["doc", "uid"]), "alike")
+    firsts = alike.select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(rest_of, schema)
+    blank = F.transform(F.split("text", "\n", -1), lambda x: ~x.rlike(WORD))
+    every_line = F.filter(F.sequence(F.lit(0), F.size(blank) - 1), lambda i: ~F.get(blank, i)).cast("array<long>")
+    copies = alike.select(doc_id, "text", every_line.alias("dropped"), (F.col("times") - 1).alias("times")).mapInArrow(rest_of, schema)
+    copies = copies.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return once.unionByName(firsts).unionByName(copies).drop("times")
