@@ -35,7 +35,7 @@ LAST = (1 << 63) - 1
 #: Columns of a block of entries, in its order of bytes.
 ENTRY = (("token", "<u4"), ("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "<i1"))
 #: Characters that are split into words at a time.
-PIECE = 1 << 21
+PIECE = 1 << 22
 
 
 def need(n: int, m: int, threshold: float) -> int:
@@ -67,9 +67,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 class Lines:
     """The lines of some texts that have words, with their words as columns."""
 
-    def __init__(self, row: np.ndarray, place: np.ndarray, line: np.ndarray, code: np.ndarray, words: list[bytes]):
+    def __init__(self, row: np.ndarray, place: np.ndarray, line: np.ndarray, code: np.ndarray, hashes: np.ndarray):
         self.row, self.place = row, place  # of each line: its text and its place there
-        self.line, self.code, self.words = line, code, words  # of each word: its line and number; the words
+        self.line, self.code, self.hashes = line, code, hashes  # of each word: its line and number; by number, two hashes
 
 
 def lines_of(texts: pa.Array) -> Iterator[Lines]:
@@ -87,11 +87,21 @@ def lines_of(texts: pa.Array) -> Iterator[Lines]:
             parts = pc.ascii_split_whitespace(every.slice(a, b - a))
             flat = parts.flatten().dictionary_encode()
             line, code = pc.list_parent_indices(parts).to_numpy(), flat.indices.to_numpy()
-            own = flat.dictionary.cast(pa.binary()).to_pylist()
+            own = _bytes(flat.dictionary)
             if b"" in own:  # white space at a line's ends
                 some_word = code != own.index(b"")
                 line, code = line[some_word], code[some_word]
-            yield Lines(row[a:b] + first, place[a:b], line.astype(np.int64), code.astype(np.int64), own)
+            yield Lines(row[a:b] + first, place[a:b], line.astype(np.int64), code.astype(np.int64), _hashes(own))
+
+
+def _bytes(strings: pa.Array) -> list[bytes]:
+    """What ``to_pylist`` gives, without a scalar for each string."""
+    if not len(strings):
+        return []
+    _, at, data = strings.buffers()
+    ends = np.frombuffer(at, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -118,7 +128,7 @@ def rarity(texts: DataFrame, buckets: int) -> np.ndarray:
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
             for lines in lines_of(batch.column(0)):
-                at = (_hashes(lines.words)[0] % np.uint64(buckets)).astype(np.int64)
+                at = (lines.hashes[0] % np.uint64(buckets)).astype(np.int64)
                 sums += np.bincount(at, np.bincount(lines.code, minlength=len(at)), buckets).astype(np.int64)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["bucket", "n"])
@@ -129,14 +139,14 @@ def rarity(texts: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def sets_of(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, code, first, hashes): a line's distinct words in one run, where the runs begin, and the
-    words' hashes."""
-    many = max(1, len(lines.words))
-    key = np.unique(lines.line * many + lines.code)
+def sets_of(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, code, first): a line's distinct words in one run, and where the runs begin."""
+    many = max(1, lines.hashes.shape[1])
+    key = np.sort(lines.line * many + lines.code)
+    key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
     line = key // many
     first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-    return line, key - line * many, first, _hashes(lines.words)
+    return line, key - line * many, first
 
 
 def digests(code: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +158,12 @@ def digests(code: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np
 
 def _ordered(lines: Lines, sums: np.ndarray, shift: int) -> tuple[Lines, np.ndarray]:
     """The same with words numbered by rank, rare ones first, and their sums."""
-    one = _hashes(lines.words)[0]
+    one = lines.hashes[0]
     own = sums[(one % np.uint64(len(sums))).astype(np.int64)]
     order = np.argsort((own >> shift << 44) | (one >> np.uint64(20)).astype(np.int64), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return Lines(lines.row, lines.place, lines.line, rank[lines.code], [lines.words[i] for i in order]), own[order]
+    return Lines(lines.row, lines.place, lines.line, rank[lines.code], lines.hashes[:, order]), own[order]
 
 
 def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int, flush: int = 1_000_000) -> DataFrame:
@@ -194,7 +204,8 @@ def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int
             last_row = -1
             for lines in lines_of(batch.column(2)):
                 lines, own_sums = _ordered(lines, own, shift)
-                line, code, first, hashes = sets_of(lines)
+                line, code, first = sets_of(lines)
+                hashes = lines.hashes
                 if not len(first):
                     continue
                 d0, d1 = digests(code, first, hashes)
@@ -435,7 +446,7 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, threshold: f
     return found
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 50_000, best: int = 16, bundle_words: int = 1 << 20) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 50_000, best: int = 4, bundle_words: int = 1 << 20) -> DataFrame:
     """``doc_id``, n_lines, n_removed and the text left of each row of ``docs`` (doc_id, text).
 
     Lines end at line feeds and have their words as elsewhere: separated by the space and the
