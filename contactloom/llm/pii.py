@@ -38,7 +38,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'|]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
-_BEHIND_CUE = re.compile(r"[\s:#.]*(?:no\.?|number|nr\.?)?[\s:#=]*([A-Z]{0,4}[0-9][0-9 -]{4,30}[0-9])", re.IGNORECASE)
+#: No repeat gives back what it has read, as nothing behind it could use that: one pass, however long.
+_BEHIND_CUE = re.compile(r"[\s:#.]*+(?:no\.?|number|nr\.?)?[\s:#=]*+([A-Z]{0,4}[0-9][0-9 -]{4,30}[0-9])", re.IGNORECASE)
 #: What starts a web address, and words before an account number.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "www.")
 CUES = ("account", "acct", "iban", "konto", "cuenta", "compte")

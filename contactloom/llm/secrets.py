@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_STRING = re.compile(r"[A-Za-z0-9_+/=.@:~-]*[0-9][A-Za-z0-9_+/=.@:~-]*")
-_NAMED = re.compile(r"(?i)\b[a-z_]*(?:password|passwd|secret|token|api_?key|access_?key|auth)[a-z_]*[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'|,;]{6,})")
+_RUN = re.compile(r"[A-Za-z0-9_+/=.@:~-]++")
+_DIGIT = re.compile(r"[0-9]")
+#: A name is looked at from its start alone and read whole, so a long one takes one pass.
+_NAMED = re.compile(r"(?i)(?<!\w)(?=[a-z_]*?(?:password|passwd|secret|token|api_?key|access_?key|auth))[a-z_]++[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'|,;]{6,})")
 _WORD = re.compile(r"[A-Za-z]{3,}")
 _VALUE = re.compile(r"^[A-Za-z_]+[=:]+(?=.{6,})")
 #: Words near a secret, and near a string that only looks like one.
@@ -84,8 +86,10 @@ class Dictionary:
 def candidates(text: str, least: int = 12) -> list[tuple[int, int]]:
     """(start, end) of candidates, by start; of overlapping ones the first."""
     found = []
-    for m in _STRING.finditer(text):
+    for m in _RUN.finditer(text):
         start, end = m.start(), m.end()
+        if end - start < least or _DIGIT.search(text, start, end) is None:
+            continue
         while end > start and text[end - 1] in ".:=/":
             end -= 1
         if (named := _VALUE.match(text[start:end])) is not None:
