@@ -205,13 +205,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 4, radius: int
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, with all their columns."""
+    """One row of ``docs`` of each component, with all its columns: that of the smallest doc_id, null
+    ids last; of rows that share it, the first as they were read.  Rows are told apart by a number of
+    their own, so rows without an id, or with one id and other texts, are judged one by one."""
     from .common import free_name
 
-    other = free_name(docs, "_named")
-    kept = near_dedup(spark, docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(other)), "left_semi")
+    space = Workspace(spark, "simhash-keep")
+    own = free_name(docs, "_row")
+    rows = space.write(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    found = near_dedup(spark, rows.select(F.col(own).alias("doc_id"), "text"), **options)
+    ids = rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    named = found.join(ids, F.col("doc_id") == F.col("row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    kept = space.write(first.select(F.col("first.row").alias("_kept_row")), "kept")
+    return rows.join(kept, F.col(own) == F.col("_kept_row"), "left_semi").drop(own)
 
 
 def hex_digits(fp: str = "fp"):
