@@ -1,9 +1,10 @@
 """Exact deduplication with stateful streaming.
 
 Every document becomes an arrival: the SHA-256 digest of its normalised text, its identifier and
-a locator, which names the arrival's row for good because arrivals are written once.  A streaming
+the number of its row, which stays for good because arrivals are written once.  Digest and
+identifier locate the content.  A streaming
 query reads the arrivals and keeps, for each digest, state without expiry in a disk-backed
-(RocksDB) store: the smallest identifier with its locator, and the number of rows.  Spark combines
+(RocksDB) store: the smallest identifier with its row, and the number of rows.  Spark combines
 the rows of a digest within each task before they are shuffled to the state, so a digest that
 holds a third of all rows sends one row per task.  Later arrivals join the same state.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Workspace, free_name, text_or_empty
@@ -39,12 +40,16 @@ def sha256(normal: Column) -> Column:
 
 
 class DigestState:
-    """The stream's keyed state: digest -> smallest identifier, its locator, number of rows.
+    """The stream's keyed state: digest -> smallest identifier, its row, number of rows.
 
-    ``advance`` takes what has been added to the arrivals since the last call; the checkpoint
-    under the workspace makes it continue where an ended or lost run stopped.
+    ``add`` writes arrivals (digest, first) beside those there are; ``advance`` takes what has been
+    added since the last call.  The checkpoint under the workspace makes it continue where an ended
+    or lost run stopped, and state has no expiry: a copy is known however late it comes.
     """
 
+    def add(self, arrivals: DataFrame) -> None:
+        arrivals.write.mode("append").parquet(self.arrivals)
+
     def __init__(self, space: Workspace, arrivals: str, schema, files_per_batch: int = 10_000):
         self.space, self.arrivals, self.schema, self.files = space, arrivals, schema, files_per_batch
 
@@ -157,17 +162,13 @@ def _has_rows(space: Workspace, name: str) -> bool:
 def _differing(space: Workspace, slim: DataFrame, members: DataFrame, digest) -> DataFrame | None:
     """Digests of hits whose full text isn't that of the row that stays; None if there are none.
 
-    Only hits are compared, so only their texts are written, after one join on doc_id.
+    Identifier and digest locate a hit's content.  Each such pair is listed once, so rows that share
+    an identifier, or have none, don't multiply.
     """
-    hits = members.filter("group_size > 1").select("doc_id", "digest", "keep_id", "kept")
+    hits = members.filter("group_size > 1").groupBy(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit")).agg(F.max("kept").alias("kept"))
+    normal = slim.withColumn("normal", normalised(F.col("text"))).withColumn("digest", digest(F.col("normal")))
     texts = space.write(
-        slim.join(
-            hits.select(F.col("doc_id").alias("hit_id"), "digest", "kept", "keep_id"),
-            F.col("doc_id").eqNullSafe(F.col("hit_id")),
-        )
-        .withColumn("normal", normalised(F.col("text")))
-        .filter(digest(F.col("normal")) == F.col("digest"))
-        .select("digest", "kept", "normal"),
+        normal.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit"))).select("digest", "kept", "normal"),
         "hits",
     )
     # a table of its own, so that the join below may split a digest that most rows have
@@ -180,21 +181,13 @@ def _differing(space: Workspace, slim: DataFrame, members: DataFrame, digest) ->
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = dedup(spark, docs, **options).filter("kept").select("doc_id", "digest")
-    own, other = free_name(docs, "_digest"), free_name(docs, "_kept_id")
+    """The rows of ``docs`` that stay, with all their columns.  Of rows that share doc_id and
+    normalised text, the one whose columns have the smallest hash stays."""
     hold = options.get("digest", sha256)
-    twice = kept.groupBy("doc_id").agg(F.collect_set("digest").alias(own)).withColumnRenamed("doc_id", other)
-    # an id kept for one text only (nearly all are) needs no look at the text beyond its digest
-    out = docs.join(twice, F.col("doc_id").cast("long").eqNullSafe(F.col(other)))
-    out = out.filter(F.array_contains(F.col(own), hold(normalised(text_or_empty()))))
-    return _one_of_each(out, other, hold).select(docs.columns)
-
-
-def _one_of_each(df: DataFrame, key: str, hold) -> DataFrame:
-    """One row of each id and text."""
-    from pyspark.sql import Window
-
-    mark, place = free_name(df, "_text_digest"), free_name(df, "_place")
-    w = Window.partitionBy(key, mark).orderBy(F.lit(1))
-    return df.withColumn(mark, hold(normalised(text_or_empty()))).withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1)
+    kept = dedup(spark, docs, **options).filter("kept")
+    own, other, mark, place = (free_name(docs, n) for n in ("_digest", "_kept_id", "_text_digest", "_place"))
+    kept = kept.select(F.col("doc_id").alias(other), F.col("digest").alias(own)).distinct()
+    rows = docs.withColumn(mark, hold(normalised(text_or_empty())))
+    out = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(mark) == F.col(own)))
+    w = Window.partitionBy(other, mark).orderBy(F.xxhash64(*[F.col(c).cast("string") if t.startswith("map") else F.col(c) for c, t in docs.dtypes]))
+    return out.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).select(docs.columns)
