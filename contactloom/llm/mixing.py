@@ -46,53 +46,80 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
-def fit_budget(sizes: list[int], counts: list[int], budget: int, window: int = 1 << 14) -> list[int]:
+def programme(sizes: list[int], counts: list[int], target: int, unit: int) -> tuple[list[int], int]:
+    """Bounded knapsack over bit sets of reachable sums, in steps of ``unit`` (sizes rounded up): how
+    many documents of each size come nearest ``target``, and their sum.  For a unit of 1 that is
+    the exact optimum, from above or below; else the sum is no larger than the target."""
+    steps = [-(-s // unit) for s in sizes]
+    usable = [i for i, (s, c) in enumerate(zip(steps, counts, strict=True)) if c and s <= target // unit * (2 if unit == 1 else 1)]
+    goal = target // unit
+    # nothing at all is as far below as twice the target is above
+    limit = goal * (2 if unit == 1 else 1)
+    full = (1 << (limit + 1)) - 1
+    reached, items = 1, []  # counts split into powers of two; first[sum] is the item that reached it
+    first = np.full(limit + 1, -1, np.int32)
+    for i in sorted(usable, key=lambda i: -steps[i]):
+        left, part = min(counts[i], limit // steps[i]), 1
+        while left and not reached >> goal & 1:
+            n = min(part, left)
+            new = reached << n * steps[i] & full & ~reached
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits[: limit + 1])] = len(items)
+                items.append((i, n))
+                reached |= new
+            left -= n
+            part *= 2
+    below = (reached & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reached >> goal
+    at = below if not above else min(below, goal + (above & -above).bit_length() - 1, key=lambda x: abs(x - goal))
+    taken = [0] * len(sizes)
+    while at:  # what a sum was made from had been reached by earlier items
+        i, n = items[first[at]]
+        taken[i] += n
+        at -= n * steps[i]
+    return taken, sum(s * t for s, t in zip(sizes, taken, strict=True))
+
+
+def fit_budget(sizes: list[int], counts: list[int], budget: int, least: int = 1 << 16, sums: int = 1 << 24) -> list[int]:
     """How many documents of each size (distinct, positive) to take, so that their sum comes as
-    near ``budget`` from below as the programme can see.
+    near ``budget`` as it can.
 
-    A fixed share of each size comes first and keeps the mix of lengths; then larger sizes fill
-    up to the last ``window`` words or so; there every sum up to the rest is tried, by a bounded
-    knapsack over bit sets of reachable sums.
+    A fixed share of each size comes first and keeps the mix of lengths; where the rest can't be met
+    then, half the share does, and so on down to none.  Larger sizes fill what is left down to eight times the largest size (``least`` at least), so that the programme always
+    has room for several documents of any size and never starts from a dead end.  A rest of more
+    than ``sums`` words is stepped through coarsely first, then what that leaves more finely.
     """
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= total:
         return list(counts)
-    taken = [c * budget // total for c in counts]
-    rest = budget - sum(s * t for s, t in zip(sizes, taken, strict=True))
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    for i in order:
-        if rest <= window:
+    share, best, apart = [c * budget // total for c in counts], list(counts), total - budget
+    while apart:
+        taken = _filled(sizes, counts, share, budget, least, sums)
+        if (gap := abs(budget - sum(s * t for s, t in zip(sizes, taken, strict=True)))) < apart:
+            best, apart = taken, gap
+        if not any(share):
             break
-        more = min(counts[i] - taken[i], (rest - window) // sizes[i])
-        taken[i] += more
-        rest -= more * sizes[i]
-    # exact fit of the rest: reached[k] holds the sums that the first k items make
-    full = (1 << (rest + 1)) - 1 if rest <= 4 * window else None
-    if full is None:  # every size above the window is used up: the largest that still fit
-        for i in order:
-            more = min(counts[i] - taken[i], rest // sizes[i])
-            taken[i] += more
-            rest -= more * sizes[i]
-        return taken
-    items: list[tuple[int, int]] = []  # (size index, documents), counts split into powers of two
-    reached = [1]
-    for i in order:
-        left, part = min(counts[i] - taken[i], rest // sizes[i]), 1
-        while left and not reached[-1] >> rest & 1:
-            n = min(part, left)
-            items.append((i, n))
-            reached.append((reached[-1] | reached[-1] << n * sizes[i]) & full)
-            left -= n
-            part *= 2
-        if reached[-1] >> rest & 1:
-            break
-    at = reached[-1].bit_length() - 1
-    for k in range(len(items), 0, -1):
-        if not reached[k - 1] >> at & 1:
-            i, n = items[k - 1]
-            taken[i] += n
-            at -= n * sizes[i]
-    return taken
+        share = [n // 2 for n in share]
+    return best
+
+
+def _filled(sizes: list[int], counts: list[int], share: list[int], budget: int, least: int, sums: int) -> list[int]:
+    """``share`` and what else comes nearest the budget."""
+    taken = list(share)
+    rest = budget - sum(s * t for s, t in zip(sizes, taken, strict=True))
+    while True:
+        left = [c - t if s <= rest else 0 for s, c, t in zip(sizes, counts, taken, strict=True)]
+        window = max([least, *(8 * s for s, n in zip(sizes, left, strict=True) if n)])
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            more = min(left[i], max(0, rest - window) // sizes[i])
+            taken[i], left[i], rest = taken[i] + more, left[i] - more, rest - more * sizes[i]
+        unit = -(-rest // sums) or 1
+        more, filled = programme(sizes, [c - t for c, t in zip(counts, taken, strict=True)], rest, unit)
+        taken = [t + m for t, m in zip(taken, more, strict=True)]
+        rest -= filled
+        if unit == 1 or not filled:
+            return taken
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 11, salts: int = 256) -> DataFrame:
