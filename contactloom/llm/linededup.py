@@ -15,7 +15,7 @@ the earlier one stays itself or not.
 4. In a list, pairs are tested by length, by position (words behind the shared one must suffice)
    and by parity bitmaps (bits that differ can't outnumber words that differ).  A later class
    keeps its ``best`` nearest earlier ones; a list in which some class had more is kept whole.
-5. The kept pairs are verified on the words themselves.  Classes that no pair decides and that had
+5. The kept pairs are verified on the lines themselves, read again, word by word (64 bits of each).  Classes that no pair decides and that had
    more meet all their earlier candidates in the lists that were kept, which decides them.
 """
 
@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import PIECE, byte_sizes, byte_strings, pieces, runs
 from .common import WORD, Workspace, text_or_empty
 
 LAST = (1 << 63) - 1
 #: Columns of a block of entries, in its order of bytes.
 ENTRY = (("token", "<u4"), ("cls", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "<i1"))
-#: Characters that are split into words at a time.
-PIECE = 1 << 22
 
 
 def need(n: int, m: int, threshold: float) -> int:
@@ -76,42 +75,21 @@ def lines_of(texts: pa.Array) -> Iterator[Lines]:
     """Lines of texts, some at a time; a line is never cut."""
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    for first, last in _pieces(sizes):
+    sizes = byte_sizes(texts)
+    for first, last in pieces(sizes):
         some = texts.slice(first, last - first)
         split = pc.split_pattern(pc.ascii_lower(some), "\n")
         every, row = split.flatten(), pc.list_parent_indices(split).to_numpy()
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
-        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
-        for a, b in _pieces(pc.binary_length(every).to_numpy(zero_copy_only=False)):
+        place = np.arange(len(row)) - np.repeat(*runs(row))
+        for a, b in pieces(pc.binary_length(every).to_numpy(zero_copy_only=False)):
             parts = pc.ascii_split_whitespace(every.slice(a, b - a))
             flat = parts.flatten().dictionary_encode()
             line, code = pc.list_parent_indices(parts).to_numpy(), flat.indices.to_numpy()
-            own = _bytes(flat.dictionary)
+            own = byte_strings(flat.dictionary)
             if b"" in own:  # white space at a line's ends
                 some_word = code != own.index(b"")
                 line, code = line[some_word], code[some_word]
-            yield Lines(row[a:b] + first, place[a:b], line.astype(np.int64), code.astype(np.int64), _hashes(own))
-
-
-def _bytes(strings: pa.Array) -> list[bytes]:
-    """What ``to_pylist`` gives, without a scalar for each string."""
-    if not len(strings):
-        return []
-    _, at, data = strings.buffers()
-    ends = np.frombuffer(at, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
-    raw = data.to_pybytes() if data is not None else b""
-    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours of about PIECE in all, at least one each."""
-    ends = np.cumsum(sizes)
-    first = 0
-    while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
-        yield first, last
-        first = last
+            yield Lines(row[a:b] + first, place[a:b], line, code, _hashes(own))
 
 
 def _hashes(own: list[bytes]) -> np.ndarray:
@@ -121,32 +99,58 @@ def _hashes(own: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), "<u8").reshape(-1, 2).T)
 
 
-def rarity(texts: DataFrame, buckets: int) -> np.ndarray:
-    """Sums of word counts by bucket."""
+def _word_counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first hashes, counts) of the words of some texts at a time."""
+    import pyarrow.compute as pc
+
+    sizes = byte_sizes(texts)
+    for first, last in pieces(sizes):
+        some = texts.slice(first, last - first)
+        if last - first == 1 and sizes[first] > PIECE:
+            for lines in lines_of(some):
+                yield lines.hashes[0], np.bincount(lines.code, minlength=lines.hashes.shape[1])
+            continue
+        flat = pc.ascii_split_whitespace(pc.ascii_lower(some)).flatten().dictionary_encode()
+        own = byte_strings(flat.dictionary)
+        counts = np.bincount(flat.indices.to_numpy(), minlength=len(own))
+        if b"" in own:  # white space at a text's ends
+            counts[own.index(b"")] = 0
+        yield _hashes(own)[0], counts
+
+
+def rarity(texts: DataFrame, buckets: int, chunks: int = 64) -> np.ndarray:
+    """Sums of word counts by bucket.  A task sends its sums in ``chunks`` blocks."""
+    size = -(-buckets // chunks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(buckets, np.int64)
+        sums = np.zeros(chunks * size, np.int64)
+        for batch in batches:
+            for one, counts in _word_counts(batch.column(0)):
+                at = (one % np.uint64(buckets)).astype(np.int64)
+                sums += np.bincount(at, counts, len(sums)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([part.tobytes() for part in sums.reshape(chunks, size)])], names=["chunk", "block"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for lines in lines_of(batch.column(0)):
-                at = (lines.hashes[0] % np.uint64(buckets)).astype(np.int64)
-                sums += np.bincount(at, np.bincount(lines.code, minlength=len(at)), buckets).astype(np.int64)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["bucket", "n"])
+            for chunk, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(block, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "block"])
 
-    summed = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(buckets, np.int64)
-    out[summed["bucket"].to_numpy(np.int64)] = summed["n"].to_numpy(np.int64)
-    return out
+    schema = "chunk int, block binary"
+    out = np.zeros((chunks, size), np.int64)
+    for r in texts.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
+        out[r["chunk"]] = np.frombuffer(r["block"], np.int64)
+    return out.reshape(-1)[:buckets]
 
 
 def sets_of(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, code, first): a line's distinct words in one run, and where the runs begin."""
     many = max(1, lines.hashes.shape[1])
-    key = np.sort(lines.line * many + lines.code)
+    key = np.sort(lines.line.astype(np.int64) * many + lines.code)
     key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
     line = key // many
-    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-    return line, key - line * many, first
+    return line, key - line * many, runs(line)[0]
 
 
 def digests(code: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +164,13 @@ def _ordered(lines: Lines, sums: np.ndarray, shift: int) -> tuple[Lines, np.ndar
     """The same with words numbered by rank, rare ones first, and their sums."""
     one = lines.hashes[0]
     own = sums[(one % np.uint64(len(sums))).astype(np.int64)]
-    order = np.argsort((own >> shift << 44) | (one >> np.uint64(20)).astype(np.int64), kind="stable")
+    order = np.argsort((own >> shift << 44) | (one >> np.uint64(20)).astype(np.int64))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return Lines(lines.row, lines.place, lines.line, rank[lines.code], lines.hashes[:, order]), own[order]
 
 
-def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int, flush: int = 1_000_000) -> DataFrame:
+def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int, flush: int = 400_000) -> DataFrame:
     """Rows of two kinds: lines with words (doc, uid, line, d0, d1, lead: the text's first), and
     blocks of entries for a bundle of lists."""
 
@@ -324,18 +328,23 @@ def _meet(scanned: DataFrame, threshold: float, best: int) -> DataFrame:
                     at += size * np.dtype(t).itemsize
             e = {c: np.concatenate(p) for c, p in parts.items()}
             # words of one list only once: alone they have no partner
-            order = np.argsort(e["token"], kind="stable")
-            t = e["token"][order]
-            some = np.r_[False, t[1:] == t[:-1]] | np.r_[t[1:] == t[:-1], False]
-            e = {c: v[order[some]] for c, v in e.items()}
-            order = np.lexsort((e["line"], e["doc"], e["cls"], e["n"], e["token"]))
-            e = {c: v[order] for c, v in e.items()}
+            key = np.sort(e["token"].astype(np.uint64) << np.uint64(32) | np.arange(len(e["token"]), dtype=np.uint64))
+            t, order = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            same = t[1:] == t[:-1]
+            order = order[np.r_[False, same] | np.r_[same, False]] if len(order) > 1 else order[:0]
+            order = order[np.lexsort((e["cls"][order], e["token"][order].astype(np.int64) << 31 | e["n"][order]))]
             # a class comes once for each task that has it: the earliest line counts
             same = np.ones(len(order), bool)
             same[:1] = False
             for c in ("token", "cls", "low", "high", "side"):
-                same[1:] &= e[c][1:] == e[c][:-1]
-            e = {c: v[~same] for c, v in e.items()}
+                v = e[c][order]
+                same[1:] &= v[1:] == v[:-1]
+            if same.any():
+                run = np.cumsum(~same)
+                often = np.flatnonzero(same | np.r_[same[1:], False])
+                its = order[often]
+                order[often] = its[np.lexsort((e["line"][its], e["doc"][its], run[often]))]
+            e = {c: v[order[~same]] for c, v in e.items()}
             e |= {c: e[c].astype(np.int64) for c in ("n", "pos", "line")}
             for later, earlier, more in _nearest(e, threshold, best):
                 if len(later):
@@ -398,38 +407,58 @@ def _meet_rest(entries: DataFrame, threshold: float) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(scan, _PAIR)
 
 
-def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """(doc, line, cls, d1, words) of the wanted classes' lines.  Tasks get a bit set of fixed size that
-    tells most other lines apart; the join that follows is exact."""
-    spark = texts.sparkSession
-    place = F.pmod(F.xxhash64("doc", F.col("line").cast("long")), F.lit(bits))
+def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24, few: int = 20_000) -> DataFrame:
+    """(doc, line, cls, d1, words) of the wanted classes' lines, words as 64-bit hashes.  Tasks get a bit set of fixed size that
+    tells most other lines apart, and the documents' ids if there are few lines; the join that
+    follows is exact."""
+    import pyarrow.compute as pc
+
+    # a line's bit: its document's place, moved on by the line's
+    place, move = F.pmod(F.xxhash64("doc"), F.lit(bits)), 7919
     view = np.zeros(bits // 32, np.uint32)
     # 32 bits a row, so at most bits / 32 rows come to the driver
-    groups = wanted.select(place.alias("p")).groupBy((F.col("p") / 32).cast("long").alias("g")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 AS int))")).alias("w")).toPandas()
+    own = wanted.select(((place + F.col("line") * move) % bits).alias("p"))
+    groups = own.groupBy((F.col("p") / 32).cast("long").alias("g")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 AS int))")).alias("w")).toPandas()
     view[groups["g"].to_numpy(np.int64)] = groups["w"].to_numpy(np.int64).astype(np.uint32)
-    held = spark.sparkContext.broadcast(view)
+    held = texts.sparkSession.sparkContext.broadcast(view)
+
+    def sets(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        own = [sorted(set(line.lower().split())) for _, _, line in found]
+        flat = [w for ws in own for w in ws]
+        first = np.cumsum([0, *map(len, own)])
+        full = np.flatnonzero(np.diff(first))
+        hashes = _hashes(flat)
+        d0, d1 = digests(np.arange(len(flat)), first[full], hashes)
+        out = [pa.array([found[i][k] for i in full.tolist()], pa.int64()) for k in (0, 1)]
+        listed = pa.ListArray.from_arrays(pa.array(np.r_[0, first[1:][full]], pa.int32()), pa.array(hashes[1].view(np.int64)))
+        return pa.RecordBatch.from_arrays([*out, pa.array(d0), pa.array(d1), listed], names=["doc", "line", "cls", "d1", "words"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = held.value
+        found: list[tuple[int, int, bytes]] = []
         for batch in batches:
-            p = batch.column(3).to_numpy()
-            rows = np.flatnonzero(view[p // 32] >> (p % 32).astype(np.uint32) & 1)
-            for some in np.array_split(rows, 1 + len(rows) // 4096) if len(rows) else ():
-                take = pa.array(some)
-                own = [sorted(set(words(t))) for t in batch.column(2).take(take).to_pylist()]
-                flat = [w for ws in own for w in ws]
-                first = np.cumsum([0, *map(len, own)])
-                code = np.arange(len(flat))
-                full = np.flatnonzero(np.diff(first))
-                d0, d1 = digests(code, first[full], _hashes(flat)) if flat else (np.zeros(0, np.int64),) * 2
-                kept = take.take(pa.array(full))
-                out = [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(d0), pa.array(d1)]
-                listed = pa.array([[w.decode("utf-8", "surrogatepass") for w in own[i]] for i in full.tolist()], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*out, listed], names=["doc", "line", "cls", "d1", "words"])
-
-    lines = texts.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "content"))
-    lines = lines.withColumn("line", F.col("line").cast("long")).select("doc", "line", "content", place.alias("p"))
-    found = lines.mapInArrow(scan, "doc long, line long, cls long, d1 long, words array<string>")
+            # every line of the batch at once: its text and its place there
+            many = pc.count_substring(batch.column(2), "\n").to_numpy().astype(np.int64) + 1
+            row = np.repeat(np.arange(len(many)), many)
+            line = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = (batch.column(1).to_numpy()[row] + line * move) % bits
+            hit = np.flatnonzero(view[at >> 5] >> (at & 31).astype(np.uint32) & 1)
+            row, line, docs = row[hit], line[hit].tolist(), batch.column(0)
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)]).tolist()
+            for a, b in zip(starts, [*starts[1:], len(row)], strict=True):
+                k = int(row[a])
+                doc, lines = docs[k].as_py(), batch.column(2)[k].as_buffer().to_pybytes().split(b"\n")
+                found += [(doc, i, lines[i]) for i in line[a:b]]
+                if len(found) > 4096:
+                    yield sets(found)
+                    found = []
+        if found:
+            yield sets(found)
+
+    if wanted.count() <= few:
+        texts = texts.join(F.broadcast(wanted.select("doc").distinct()), "doc", "left_semi")
+    lines = texts.select("doc", place.alias("p"), text_or_empty().alias("text"))
+    found = lines.mapInArrow(scan, "doc long, line long, cls long, d1 long, words array<long>")
     return found.join(wanted, ["doc", "line", "cls"], "left_semi").dropDuplicates(["doc", "line", "cls", "d1"])
 
 
@@ -446,7 +475,7 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, threshold: f
     return found
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 50_000, best: int = 4, bundle_words: int = 1 << 20) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, buckets: int = 1 << 18, list_rows: int = 50_000, best: int = 2, bundle_words: int = 1 << 20) -> DataFrame:
     """``doc_id``, n_lines, n_removed and the text left of each row of ``docs`` (doc_id, text).
 
     Lines end at line feeds and have their words as elsewhere: separated by the space and the
@@ -469,22 +498,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     asking = space.write(entries.filter("more").select(*ids).distinct().join(found, ids, "left_anti"), "asking")
     if not asking.isEmpty():
         asks = asking.select(*ids, F.lit(True).alias("asks"))
-        rest = entries.join(asks, ids, "left").select(*ids, "token", "n", "pos", "side", "low", "high", F.coalesce("asks", F.lit(False)).alias("asks"))
+        tokens = space.write(entries.filter("more").join(asking, ids, "left_semi").select("token").distinct(), "tokens")
+        rest = entries.join(tokens, "token", "left_semi").join(asks, ids, "left").select(*ids, "token", "n", "pos", "side", "low", "high", F.coalesce("asks", F.lit(False)).alias("asks"))
         again = space.write(_meet_rest(rest, threshold).distinct(), "again")
         found = found.unionByName(_verified(space, texts, again, threshold, "rest"))
 
     lines = met.filter("kind = 0").select("doc", "line", "uid", F.col("cls").alias("d0"), "d1", "lead")
-    first = F.min(F.struct("doc", "line", "uid"))
-    classes = lines.groupBy("d0", "d1").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = found.select(F.col("cls").alias("d0"), "d1").distinct().withColumn("gone", F.lit(True))
-    decided = space.write(classes.join(gone, ["d0", "d1"], "full").select("d0", "d1", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "decided")
-    out = lines.join(decided, ["d0", "d1"]).filter(F.col("gone") | (F.col("first") != F.struct("doc", "line", "uid")))
+    classes = lines.groupBy("d0", "d1").agg(F.count("*").alias("n")).filter("n > 1")
+    # written before they are joined: a join of two tables can split a class that most lines are in
+    decided = space.write(classes.join(gone, ["d0", "d1"], "full").select("d0", "d1", F.coalesce("gone", F.lit(False)).alias("gone")), "decided")
+    members = space.write(lines.join(decided, ["d0", "d1"]).select("doc", "line", "uid", "d0", "d1", "gone"), "members")
+    firsts = space.write(members.filter("NOT gone").groupBy("d0", "d1").agg(F.min(F.struct("doc", "line", "uid")).alias("first")), "firsts")
+    out = members.join(firsts, ["d0", "d1"], "left").filter(F.col("gone") | (F.col("first") != F.struct("doc", "line", "uid")))
     out = out.groupBy("doc", "uid").agg(F.collect_set("line").alias("dropped"))
     # rows with one doc_id and text are alike: the first keeps what the class leaves it
     twice = lines.filter("lead").groupBy("doc", "uid").agg(F.count("*").alias("times")).filter("times > 1")
     out = space.write(out.join(twice, ["doc", "uid"], "full"), "dropped")
     twice = out.filter("times IS NOT NULL")
-    space.drop("met", "decided", "asking", "again", "found-first", "found-rest")
+    space.drop("met", "decided", "members", "firsts", "asking", "tokens", "again", "found-first", "found-rest")
 
     def rest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
