@@ -5,7 +5,9 @@ letters spaced out) is a lattice of characters: at each place a character stands
 letter that it looks like, for the letter before it once more, or for nothing.  Viterbi decoding
 finds the most likely letters under a character trigram model that was counted on the plain words
 of all texts, labelled or not.  The restored text is scored by logistic regression on the presence of its
-words and of their first letters (stems, for inflected words).
+words and of their first letters (stems, for inflected words).  Not decoded: look-alikes at a token's
+end, which are stripped like punctuation (so "a$$" reads "a"); tokens without any letter, as most are
+numbers; and letters doubled where a word has one, as most doubled letters belong there.
 
 The regression is fitted on at most ``sample_rows`` labelled rows, those smallest by a hash of
 doc_id.  Scoring reads whole texts, and nothing but texts.
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import byte_sizes, byte_strings, pieces, runs
 from .common import Workspace, text_or_empty
 
 #: Letters that a character is written for.
@@ -136,29 +139,132 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, steps: int =
     return w
 
 
+def plain_words(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Tokens without what is around them, and which of these ``restored`` would leave as they are."""
+    import pyarrow.compute as pc
+
+    words, behind = pc.utf8_trim(strings, AROUND), pc.utf8_ltrim(strings, AROUND)
+    if not len(strings):
+        return words, np.zeros(0, bool)
+    size = pc.utf8_length(strings).to_numpy().astype(np.int64)
+    text = np.frombuffer(b"".join(byte_strings(strings)).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    start = np.cumsum(size) - size
+    # a letter three times in a row, within one token
+    at = np.flatnonzero((text[:-2] == text[1:-1]) & (text[1:-1] == text[2:])) if len(text) > 2 else np.zeros(0, np.int64)
+    token = np.searchsorted(start, at, "right") - 1
+    plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False).copy()
+    plain[token[at + 2 < start[token] + size[token]]] = False
+    # a look-alike right before the word
+    lead = size - pc.utf8_length(behind).to_numpy()
+    some = np.flatnonzero(plain & (lead > 0))
+    plain[some[np.isin(text[start[some] + lead[some] - 1], np.array([ord(c) for c in LOOKS_LIKE], np.uint32))]] = False
+    return words, plain
+
+
+class Tokens:
+    """The distinct tokens of each of some texts, as ``tokens`` gives them: texts' numbers and tokens'
+    numbers in pairs, and the tokens (UTF-8)."""
+
+    def __init__(self, row: np.ndarray, code: np.ndarray, own: list[bytes], strings: pa.Array):
+        self.row, self.code, self.own, self.strings = row, code, own, strings
+
+
+def tokens_of(texts: pa.Array, joined: bool = True) -> Iterator[tuple[int, int, Tokens]]:
+    """(first, last, their tokens) of some texts at a time; with ``joined``, also the words that are
+    spaced out."""
+    import pyarrow.compute as pc
+
+    for first, last in pieces(byte_sizes(texts)):
+        parts = pc.utf8_split_whitespace(pc.utf8_lower(texts.slice(first, last - first)))
+        flat = parts.flatten().dictionary_encode()
+        row, code, strings = pc.list_parent_indices(parts).to_numpy().astype(np.int64), flat.indices.to_numpy().astype(np.int64), flat.dictionary
+        own = byte_strings(strings)
+        many = len(own)
+        key = row * max(1, 2 * many) + code
+        if joined and many:
+            single = np.flatnonzero((pc.utf8_length(strings).to_numpy() == 1)[code])
+            starts, sizes = runs(single - np.arange(len(single)) + row[single] * (len(row) + 1))
+            new: dict[bytes, int] = {}
+            more = []
+            for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+                if n >= 3:
+                    word = b"".join(own[c] for c in code[single[a : a + n]])
+                    more.append(row[single[a]] * 2 * many + many + new.setdefault(word, len(new)))
+            own, key = own + list(new), np.r_[key, np.array(more, np.int64)]
+        key = np.sort(key)
+        key = key[runs(key)[0]]
+        row = key // max(1, 2 * many)
+        yield first, last, Tokens(row, key - row * 2 * many, own, strings)
+
+
 class Model:
     """Score of a text, and what it's made of."""
 
-    def __init__(self, letters: CharModel, weights: dict[str, float], intercept: float, memory: int = 400_000):
+    def __init__(self, letters: CharModel, weights: dict[str, float], intercept: float, memory: int = 200_000):
         self.letters, self.weights, self.intercept, self.memory = letters, weights, intercept, memory
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def of(self, token: str) -> tuple[str, ...]:
+        self.number = {name: i for i, name in enumerate(weights)}
+        self.values = np.array(list(weights.values()), np.float64)
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        # the names of features by kind: whole words and stems
+        self.kinds = [(n, pa.array([name[1:] for name in weights if name[0] == mark], pa.string()), np.array([i for name, i in self.number.items() if name[0] == mark], np.int64)) for n, mark in ((0, "="), *((k, str(k)) for k in STEMS))]
+
+    def sent(self, spark: SparkSession):
+        """A broadcast of plain values, which executors make into a model again."""
+        return spark.sparkContext.broadcast((self.letters.counts, self.weights, self.intercept, self.memory))
+
+    def of(self, token: bytes) -> tuple[int, ...]:
+        """The numbers of a token's features."""
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.memory:
                 self.known.clear()
-            found = self.known[token] = tuple(n for n in names(restored(token, self.letters)) if n in self.weights)
+            word = restored(token.decode("utf-8", "replace"), self.letters)
+            found = self.known[token] = tuple(self.number[n] for n in names(word) if n in self.number)
         return found
 
+    def _features(self, found: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(token, feature) pairs; plain words are looked up together, others one by one."""
+        import pyarrow.compute as pc
+
+        words, plain = plain_words(found.strings)
+        out = []
+        at = np.flatnonzero(plain)
+        words = words.take(pa.array(at))
+        size = pc.utf8_length(words)
+        for n, known, numbers in self.kinds:
+            place = pc.index_in(pc.utf8_slice_codeunits(words, 0, n) if n else words, known)
+            hit = pc.fill_null(pc.and_(pc.is_valid(place), pc.greater_equal(size, n)), False).to_numpy(zero_copy_only=False)
+            out.append((at[hit], numbers[place.filter(pa.array(hit)).to_numpy(zero_copy_only=False)] if hit.any() else np.zeros(0, np.int64)))
+        rest = [*np.flatnonzero(~plain).tolist(), *range(len(plain), len(found.own))]
+        odd = [(k, n) for k in rest for n in self.of(found.own[k])]
+        out.append((np.array([k for k, _ in odd], np.int64), np.array([n for _, n in odd], np.int64)))
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for first, last, found in tokens_of(texts):
+            code, number = self._features(found)
+            order = np.argsort(code, kind="stable")
+            number = number[order]
+            many = np.bincount(code, minlength=len(found.own))
+            begin = np.cumsum(many) - many
+            use = np.flatnonzero(many[found.code]) if len(many) else np.zeros(0, np.int64)
+            row, code = found.row[use], found.code[use]
+            each = many[code]
+            place = np.repeat(begin[code], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            # a feature counts once, and in one order: the same words give the same last digits
+            key = np.unique(np.repeat(row, each) * max(1, len(self.values)) + number[place])
+            z = np.bincount(key // max(1, len(self.values)), self.values[key % len(self.values)] if len(key) else None, last - first)
+            out[first:last] = 1 / (1 + np.exp(-np.clip(self.intercept + z, -700, 700)))
+        return out
+
     def score(self, text: str | None) -> float:
-        seen: set[str] = set()
-        for token in tokens(text or ""):
-            if found := self.of(token):
-                seen.update(found)
-        # in one order, so that the same words give the same last digits
-        z = self.intercept + math.fsum(self.weights[n] for n in seen)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+        return float(self.scores(pa.array([text or ""]))[0])
+
+
+def received(held) -> Model:
+    counts, weights, intercept, memory = held.value
+    return Model(CharModel(counts), weights, intercept, memory)
 
 
 def held_out(doc_id="doc_id"):
@@ -166,41 +272,44 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def count_trigrams(texts: DataFrame, words: int = 20_000, held: int = 50_000) -> dict[str, int]:
+def count_trigrams(texts: DataFrame, held: int = 500_000) -> dict[str, int]:
     """How many times texts have a trigram in their distinct plain words, over all of ``texts``.
 
-    Tasks add up ``words`` words and ``held`` trigrams at a time before they pass them on.
+    A task adds up its trigrams and passes them on whenever it holds ``held``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()  # texts with a token
-        found: dict[str, int] = {}
+        import pyarrow.compute as pc
 
-        def pour() -> None:
-            for token, n in own.items():
-                word = token.strip(AROUND)
-                if word.isalpha():
-                    for t in trigrams(word):
-                        found[t] = found.get(t, 0) + n
-            own.clear()
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def told() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["tri", "n"])
-            found.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["tri", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                own.update(set(text.as_py().lower().split()))
-                if len(own) >= words:
-                    pour()
-                    if len(found) >= held:
-                        yield told()
-        pour()
+            for _, _, found in tokens_of(batch.column(0), joined=False):
+                plain = pc.utf8_trim(found.strings, AROUND)
+                use = np.flatnonzero(pc.utf8_is_alpha(plain).to_numpy(zero_copy_only=False))
+                if not len(use):
+                    continue
+                plain = plain.take(pa.array(use))
+                times = np.bincount(found.code, minlength=len(found.own))[use]
+                # all words in a row, each between its marks: a trigram starts at every place but the last two
+                padded = pc.binary_join_element_wise("^^", plain, "$", "")
+                text = np.frombuffer(b"".join(byte_strings(padded)).decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+                each = np.repeat(times, pc.utf8_length(padded).to_numpy())
+                at = np.flatnonzero((text[:-2] != ord("$")) & (text[1:-1] != ord("$")))
+                tri = text[at] << 42 | text[at + 1] << 21 | text[at + 2]
+                sums = pa.table({"tri": np.r_[keys, tri], "n": np.r_[counts, each[at]]}).group_by("tri", use_threads=False).aggregate([("n", "sum")])
+                keys, counts = sums.column("tri").to_numpy(), sums.column("n_sum").to_numpy()
+                if len(keys) >= held:
+                    yield told()
+                    keys, counts = keys[:0], counts[:0]
         yield told()
 
-    counted = texts.select("text").mapInArrow(count, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n"))
-    return {r["tri"]: r["n"] for r in counted.collect()}
+    counted = texts.select("text").mapInArrow(count, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).toPandas()
+    letters = (1 << 21) - 1
+    return {chr(t >> 42) + chr(t >> 21 & letters) + chr(t & letters): n for t, n in zip(counted["tri"].tolist(), counted["n"].tolist(), strict=True)}
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, features: int = 512) -> Model:
@@ -214,25 +323,27 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: in
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("labelled"), "labelled").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    # at most sample_rows rows of two numbers: bounded, whatever the corpus
-    sample = space.write(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic"), "sample")
-    # an id may repeat in docs; the bound holds all the same
-    sample = sample.limit(2 * sample_rows)
-
+    # at most sample_rows rows of two numbers: bounded, whatever the corpus.  An id may repeat in docs:
+    # one text of it counts, so that the bound holds for the sample, too
+    sample = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = space.write(sample.repartition(24, "doc_id"), "sample")
     letters = CharModel(count_trigrams(texts))
+    held = spark.sparkContext.broadcast(letters.counts)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
+        known: dict[bytes, list[str]] = {}
+        letters = CharModel(held.value)
         for batch in batches:
-            own = []
-            for text in batch.column(1).to_pylist():
-                seen: set[str] = set()
-                for token in tokens(text):
+            every: list[list[str]] = []
+            for first, last, found in tokens_of(batch.column(1)):
+                for token in found.own:
                     if token not in known:
-                        known[token] = names(restored(token, letters))
-                    seen.update(known[token])
-                own.append(sorted(seen))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "names"])
+                        known[token] = names(restored(token.decode("utf-8", "replace"), letters))
+                own: list[set[str]] = [set() for _ in range(last - first)]
+                for row, code in zip(found.row.tolist(), found.code.tolist(), strict=True):
+                    own[row].update(known[found.own[code]])
+                every += map(sorted, own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(every, pa.list_(pa.string()))], names=["doc_id", "toxic", "names"])
 
     seen = space.write(sample.mapInArrow(present, "doc_id long, toxic int, names array<string>"), "seen")
     totals = seen.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -263,21 +374,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scores.  An empty table gives an empty result.  Other columns, of any name, are not read.
     """
 
+    held = model.sent(docs.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = received(held)
         for batch in batches:
-            made = np.fromiter((model.score(t.as_py()) for t in batch.column(1)), np.float64, batch.num_rows)
+            made = own.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), pa.array((made >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(scan, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that aren't predicted to be toxic, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
+
+    held = model.sent(docs.sparkSession)
 
-    @pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: model.score(t) < 0.5).astype(bool)
+    @arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = received(held)
+        for texts in batches:
+            yield pa.array(own.scores(texts) < 0.5)
 
     return docs.filter(clean(text_or_empty()))
