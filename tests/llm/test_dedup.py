@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 
@@ -6,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from contactloom.llm import exact_dedup, simhash
+from contactloom.llm import exact_dedup, shingles, simhash
 from contactloom.llm.common import Workspace
 from contactloom.llm.components import components
 
@@ -146,3 +147,29 @@ def test_components_of_a_long_chain_and_a_star(spark):
     random.Random(3).shuffle(edges)
     got = {r.node: r.root for r in components(space, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{k: 1000 for k in range(1000, 1400)}, 5000: 5000, 5001: 5000}
+
+
+def test_rows_without_or_with_one_id(spark):
+    """Null and repeated ids: rows are judged one by one, and no id's rows are joined with each other."""
+    rows = [(None, "copy of three words here"), (3, "copy of three words here"), (7, "copy of three words here"), (7, "something else entirely said"), (8, "twice the same row said"), (8, "twice the same row said"), (None, "nobody numbered this text"), (None, "nor that other one here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.monotonically_increasing_id())
+    want = sorted([(3, "copy of three words here"), (7, "something else entirely said"), (8, "twice the same row said"), (None, "nobody numbered this text"), (None, "nor that other one here")], key=repr)
+    for keep in (simhash.keep_one, exact_dedup.keep_first, shingles.keep_first):
+        got = keep(spark, df)
+        assert got.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == want, keep
+    many = spark.range(60_000).selectExpr("cast(null AS long) AS doc_id", "concat('text ', id % 30000) AS text")
+    assert exact_dedup.dedup(spark, many).filter("kept").count() == exact_dedup.keep_first(spark, many).count() == 30_000
+
+
+def test_state_goes_on(spark):
+    """Arrivals of a later call meet the state of earlier ones."""
+    space = Workspace(spark, "test-state")
+    row = lambda k: F.struct(F.lit(False).alias("no_id"), F.lit(k).cast("long").alias("doc_id"), F.lit(k).cast("long").alias("locator")).alias("first")
+    arrivals = lambda pairs: functools.reduce(lambda a, b: a.union(b), [spark.range(1).select(F.lit(d).alias("digest"), row(k)) for d, k in pairs])
+    state = exact_dedup.DigestState(space, space.path("arrivals"), arrivals([("a", 1)]).schema)
+    state.add(arrivals([("a", 5), ("b", 2)]))
+    state.advance()
+    state.add(arrivals([("a", 3), ("a", 9), ("c", 4)]))
+    state.advance()
+    assert sorted((r.digest, r.first.doc_id, r.n) for r in state.groups().collect()) == [("a", 3, 3), ("b", 2, 1), ("c", 4, 1)]

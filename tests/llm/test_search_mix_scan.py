@@ -58,13 +58,24 @@ def test_budget_is_met_as_near_as_can_be():
         budget = r.randint(0, sum(s * c for s, c in zip(sizes, counts, strict=True)) + 5)
         taken = mixing.fit_budget(sizes, counts, budget)
         assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
-        base = [c * budget // max(1, sum(s * c for s, c in zip(sizes, counts, strict=True))) for c in counts]
-        rest = budget - sum(s * min(b, c) for s, b, c in zip(sizes, base, counts, strict=True))
         sums = {0}
-        for s, b, c in zip(sizes, base, counts, strict=True):
-            sums = {x + s * k for x in sums for k in range(max(0, c - b) + 1)}
-        best = max(x for x in sums if x <= rest) if rest >= 0 else 0
-        assert sum(s * t for s, t in zip(sizes, taken, strict=True)) == budget - rest + best
+        for size, c in zip(sizes, counts, strict=True):
+            sums = {x + size * k for x in sums for k in range(c + 1)}
+        got = sum(a * b for a, b in zip(sizes, taken, strict=True))
+        assert abs(got - budget) == min(abs(x - budget) for x in sums)
+
+
+def test_budget_of_large_documents():
+    """No larger document is committed to before the programme sees what is left."""
+    sizes = [50_001 + 7 * i for i in range(12)]
+    taken = mixing.fit_budget(sizes, [1] * 12, 100_072)
+    assert sum(a * b for a, b in zip(sizes, taken, strict=True)) == 100_072
+    sizes = [40_000_003, 25_000_001, 17_000_011, 9_000_017, 301, 7]
+    taken = mixing.fit_budget(sizes, [3, 3, 3, 3, 5000, 5000], 51_000_034)
+    assert abs(sum(a * b for a, b in zip(sizes, taken, strict=True)) - 51_000_034) < 10
+    sizes, counts = list(range(1, 20_000, 3)), [1 + k % 9 for k in range(6667)]
+    budget = sum(a * b for a, b in zip(sizes, counts, strict=True)) * 5 // 7
+    assert sum(a * b for a, b in zip(sizes, mixing.fit_budget(sizes, counts, budget), strict=True)) == budget
 
 
 def test_mix(spark, edge, rows, nothing):
@@ -192,4 +203,57 @@ def test_letters_are_counted_on_all_texts(spark):
         for t in toxicity.trigrams(w):
             want[t] = want.get(t, 0) + 1
     assert model.letters.counts == want
-    assert toxicity.count_trigrams(docs, words=3, held=5) == want
+
+
+def test_tokens_as_columns(edge, rows):
+    """Splitting many texts at once gives each text's tokens."""
+    import pyarrow as pa
+
+    texts = [r[1] or "" for r in rows] + ["a b c d", "i d\ni o t x yy z w", "x", "A B  C the q r s", ""]
+    got = [set() for _ in texts]
+    for first, _, found in toxicity.tokens_of(pa.array(texts)):
+        for row, code in zip(found.row.tolist(), found.code.tolist(), strict=True):
+            got[first + row].add(found.own[code].decode())
+    assert [g - {""} for g in got] == [set(toxicity.tokens(t)) for t in texts]
+
+
+def test_plain_words_need_no_restoring():
+    """Words that are looked up together are those that restoring leaves alone."""
+    import pyarrow as pa
+
+    own = ["the", "(the)", "!diot", "m0r0n", "moooron", "book", "eee", "ÉÉÉ", "ééa", "«mot»", "¡hola!", "a", "x.y", "", "...", "$$$cum", "a$$", "42", "yes!!!", "日本語"]
+    words, plain = toxicity.plain_words(pa.array(own))
+    model = toxicity.CharModel({t: 1 for w in ("the", "book", "moron") for t in toxicity.trigrams(w)})
+    for token, word, left in zip(own, words.to_pylist(), plain.tolist(), strict=True):
+        if left:
+            assert toxicity.restored(token, model) == word
+        else:
+            assert not word.isalpha() or token != word or any(a * 3 in word for a in word)
+    assert {t for t, left in zip(own, plain.tolist(), strict=True) if left} == {"the", "book", "ééa", "«mot»", "a", "a$$", "日本語"}
+
+
+def test_letters_are_passed_on_early(spark):
+    docs, _ = _toxic_table(spark)
+    want = toxicity.count_trigrams(docs)
+    assert toxicity.count_trigrams(docs, held=5) == want
+
+
+def test_long_runs_take_one_pass():
+    import time
+
+    texts = ["a" * 1_000_000, "account" + " " * 1_000_000 + "x", "=token_" * 150_000, "token " * 200_000, "password" * 120_000 + "=", "account:#" * 100_000, "1" * 400_000 + " ", "+1" + "(" * 1_000_000, "a@" * 300_000, "@" + "a." * 400_000]
+    anchors = pii.automaton()
+    for text in texts:
+        for scan in (secrets.candidates, lambda t: pii.spans(t, anchors)):
+            began = time.process_time()
+            scan(text)
+            assert time.process_time() - began < 2, text[:20]
+
+
+def test_named_values():
+    found = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert found("DB_PASSWORD = 'hunter2!!xyz' and more") == ["hunter2!!xyz"]
+    assert found("password=token=abcdefgh") == ["token=abcdefgh"]
+    assert found("foo=password=secretvalue") == ["secretvalue"]
+    assert found("my_api_key: abcdefghij") == ["abcdefghij"]
+    assert found("passwords are long") == []
