@@ -27,12 +27,24 @@ def weighted_spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return each.agg((F.sum(F.col("rho") * F.col("n")) / F.sum("n")).alias("rho"), F.sum("n").alias("n"))
 
 
-def per_diagonal(a: DataFrame, b: DataFrame, longest: int) -> DataFrame:
-    """Rank correlation of two maps along each diagonal, over cells that either has."""
+def per_diagonal(a: DataFrame, b: DataFrame, longest: int, n_bins: int) -> DataFrame:
+    """Rank correlation (d, rho, n) of two maps of ``n_bins`` bins along each diagonal, over all its
+    cells.  Those that both maps lack are one row with their number as its weight."""
     one = a.select("bin1", "bin2", F.col("value").alias("x"))
     two = b.select("bin1", "bin2", F.col("value").alias("y"))
     both = one.join(two, ["bin1", "bin2"], "full").select((F.col("bin2") - F.col("bin1")).alias("d"), F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
-    return spearman(both.filter(F.col("d") <= longest), "x", "y", ["d"])
+    both = both.filter(F.col("d") <= longest).groupBy("d", "x", "y").agg(F.count("*").alias("w"))
+    seen = both.groupBy("d").agg(F.sum("w").alias("seen"))
+    empty = seen.select("d", F.lit(0).alias("x"), F.lit(0).alias("y"), (F.lit(n_bins) - F.col("d") - F.col("seen")).alias("w")).filter("w > 0")
+    own = both.unionByName(empty)
+    for c in "xy":
+        upto = F.sum("w").over(Window.partitionBy("d").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        same = F.sum("w").over(Window.partitionBy("d", c))
+        own = own.withColumn("r" + c, upto - (same - 1) / 2.0)
+    mean = lambda e: F.sum(e * F.col("w")) / F.sum("w")
+    each = own.groupBy("d").agg(F.sum("w").alias("n"), *[mean(F.col(p) * F.col(q)).alias(p + q) for p, q in (("rx", "rx"), ("ry", "ry"), ("rx", "ry"))], mean(F.col("rx")).alias("mx"), mean(F.col("ry")).alias("my"))
+    spread = F.sqrt((F.col("rxrx") - F.col("mx") ** 2) * (F.col("ryry") - F.col("my") ** 2))
+    return each.select("d", F.when(spread > 0, (F.col("rxry") - F.col("mx") * F.col("my")) / spread).alias("rho"), "n")
 
 
 def fill_gaps(df: DataFrame, order: str, value: str, by: list[str] | None = None) -> DataFrame:

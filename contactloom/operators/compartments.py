@@ -224,8 +224,8 @@ def blocks_of(pixels: DataFrame, bins: DataFrame, by: str = "chrom") -> DataFram
     """(block, n, first, i, j, value) of pixels within a chromosome or arm."""
     sizes = bins.groupBy(by).agg(F.count("*").cast("int").alias("n"), F.min("bin").alias("first"))
     own = bins.select(F.col("bin"), F.col(by).alias("block"))
-    x = pixels.join(F.broadcast(own.select(F.col("bin").alias("_1"), F.col("block").alias("_c1"))), F.col("bin1") == F.col("_1"))
-    x = x.join(F.broadcast(own.select(F.col("bin").alias("_2"), F.col("block").alias("_c2"))), F.col("bin2") == F.col("_2")).filter("_c1 = _c2")
+    x = pixels.join(own.select(F.col("bin").alias("_1"), F.col("block").alias("_c1")), F.col("bin1") == F.col("_1"))
+    x = x.join(own.select(F.col("bin").alias("_2"), F.col("block").alias("_c2")), F.col("bin2") == F.col("_2")).filter("_c1 = _c2")
     x = x.join(F.broadcast(sizes.withColumnRenamed(by, "block")), F.col("_c1") == F.col("block"))
     return x.select("block", "n", "first", (F.col("bin1") - F.col("first")).alias("i"), (F.col("bin2") - F.col("first")).alias("j"), F.col("value").cast("double").alias("value"))
 

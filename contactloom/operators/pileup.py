@@ -53,9 +53,9 @@ def normalised_pileup(pile: DataFrame, cov: DataFrame) -> DataFrame:
 
 def shifted(loops: DataFrame, times: int = 20, step: int = 100_000, seed: int = 4) -> DataFrame:
     """Control loops: each one moved ``times`` times, to alternating sides and ever farther, by
-    amounts that follow from a seeded hash."""
+    amounts that follow from the seed."""
     own = loops.select("chrom", "start", "end", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("k"))
-    jump = F.lit(step) + F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(step))
+    jump = F.lit(step) + (F.col("k") * 7919 + seed * 104_729) % step
     by = F.when(F.col("k") % 2 == 0, 1).otherwise(-1) * F.col("k") * jump
     return own.select("chrom", (F.col("start") + by).alias("start"), (F.col("end") + by).alias("end"), "k")
 
@@ -111,9 +111,11 @@ def resampled(blocks: DataFrame, share: float = 1.0, seed: int = 6) -> DataFrame
     """Blocks (chrom, pos1, pos2, value) with values drawn anew from Poisson distributions of mean
     share * value, seeded by place."""
 
-    def draw(batches):
-        for rows in batches:
-            v = np.array([np.random.default_rng([seed, int(c), int(a), int(b)]).poisson(share * x) for c, a, b, x in zip(rows["chrom"], rows["pos1"], rows["pos2"], rows["value"], strict=True)], dtype=np.int64)
-            yield pd.DataFrame({"chrom": rows["chrom"], "pos1": rows["pos1"], "pos2": rows["pos2"], "value": v})
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        # one generator for a stretch of rows, whose cells are drawn in order of their place
+        rows = rows.sort_values(["pos1", "pos2"])
+        drawn = np.random.default_rng([seed, *map(int, key)]).poisson(share * rows["value"].to_numpy())
+        return rows[["chrom", "pos1", "pos2"]].assign(value=drawn)
 
-    return blocks.select("chrom", "pos1", "pos2", F.col("value").cast("double").alias("value")).mapInPandas(draw, "chrom int, pos1 int, pos2 int, value long").filter("value > 0")
+    own = blocks.select("chrom", "pos1", "pos2", F.col("value").cast("double").alias("value"), F.expr("pos1 div 64").alias("stretch"))
+    return own.groupBy("chrom", "stretch").applyInPandas(draw, "chrom int, pos1 int, pos2 int, value long").filter("value > 0")

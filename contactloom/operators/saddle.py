@@ -29,7 +29,7 @@ def saddle(pixels: DataFrame, bins: DataFrame, track: DataFrame, classes: int =
     placed = quintiles(track.join(valid, "bin", "left_semi"), bins, classes)
     sizes = placed.groupBy("chrom", "q").agg(F.count("*").alias("n"))
     p = [placed.select(F.col("bin").alias("_b" + s), F.col("q").alias("q" + s)) for s in "12"]
-    hit = ooe.join(F.broadcast(p[0]), F.col("bin1") == F.col("_b1")).join(F.broadcast(p[1]), F.col("bin2") == F.col("_b2"))
+    hit = ooe.join(p[0], F.col("bin1") == F.col("_b1")).join(p[1], F.col("bin2") == F.col("_b2"))
     both = hit.select("chrom", "q1", "q2", "value").unionByName(hit.filter("bin1 <> bin2").select("chrom", F.col("q2").alias("q1"), F.col("q1").alias("q2"), "value"))
     sums = both.groupBy("chrom", "q1", "q2").agg(F.sum("value").alias("total"))
     grid = sizes.select("chrom", F.col("q").alias("q1"), F.col("n").alias("n1")).join(sizes.select("chrom", F.col("q").alias("q2"), F.col("n").alias("n2")), "chrom")
@@ -55,7 +55,7 @@ def bootstrap(pixels: DataFrame, bins: DataFrame, track: DataFrame, times: int =
     placed = quintiles(track.join(valid, "bin", "left_semi"), bins, classes)
     sizes = placed.groupBy("chrom", "q").agg(F.count("*").alias("n"))
     p = [placed.select(F.col("bin").alias("_b" + s), F.col("q").alias("q" + s)) for s in "12"]
-    hit = ooe.join(F.broadcast(p[0]), F.col("bin1") == F.col("_b1")).join(F.broadcast(p[1]), F.col("bin2") == F.col("_b2"))
+    hit = ooe.join(p[0], F.col("bin1") == F.col("_b1")).join(p[1], F.col("bin2") == F.col("_b2"))
     both = hit.select("chrom", "q1", "q2", "value").unionByName(hit.filter("bin1 <> bin2").select("chrom", F.col("q2").alias("q1"), F.col("q1").alias("q2"), "value"))
     values = both.groupBy("chrom", "q1", "q2", "value").agg(F.count("*").alias("m"))
     grid = sizes.select("chrom", F.col("q").alias("q1"), F.col("n").alias("n1")).join(sizes.select("chrom", F.col("q").alias("q2"), F.col("n").alias("n2")), "chrom")

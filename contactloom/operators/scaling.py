@@ -112,7 +112,7 @@ def by_band(pixels: DataFrame, bins: DataFrame, ratio: float = 1.17, first: int
     longest = int(lens.agg(F.max("n")).first()[0])
     edges = log_edges(first, max(first + 1, longest), ratio)
     arms = [bins.select(F.col("bin").alias("_b" + s), F.col("arm").alias("arm" + s)) for s in "12"]
-    own = pixels.join(F.broadcast(arms[0]), F.col("bin1") == F.col("_b1")).join(F.broadcast(arms[1]), F.col("bin2") == F.col("_b2")).filter("arm1 = arm2")
+    own = pixels.join(arms[0], F.col("bin1") == F.col("_b1")).join(arms[1], F.col("bin2") == F.col("_b2")).filter("arm1 = arm2")
     d = F.col("bin2") - F.col("bin1")
     sums = own.select(classes(d, edges).alias("class"), "value").filter("class IS NOT NULL").groupBy("class").agg(F.sum("value").alias("total"))
     cells = lens.select(F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("d"), "n").select(classes(F.col("d"), edges).alias("class"), (F.col("n") - F.col("d")).alias("c"))
@@ -149,7 +149,7 @@ def inter_arm_map(pixels: DataFrame, bins: DataFrame, genome: Genome, size: int
     cells = per.select(F.col("chrom").alias("c1"), F.col("x").alias("x"), F.col("m").alias("m1")).join(per.select(F.col("chrom").alias("c2"), F.col("x").alias("y"), F.col("m").alias("m2")), F.col("c1") != F.col("c2"))
     cells = cells.groupBy("x", "y").agg(F.sum(F.col("m1") * F.col("m2")).alias("cells"))
     p = [placed.select(F.col("bin").alias("_b" + s), F.col("chrom").alias("_c" + s), F.col("x").alias("_x" + s)) for s in "12"]
-    own = pixels.join(F.broadcast(p[0]), F.col("bin1") == F.col("_b1")).join(F.broadcast(p[1]), F.col("bin2") == F.col("_b2")).filter("_c1 <> _c2")
+    own = pixels.join(p[0], F.col("bin1") == F.col("_b1")).join(p[1], F.col("bin2") == F.col("_b2")).filter("_c1 <> _c2")
     both = own.select(F.explode(F.array(F.struct(F.col("_x1").alias("x"), F.col("_x2").alias("y")), F.struct(F.col("_x2").alias("x"), F.col("_x1").alias("y")))).alias("p"), "value")
     sums = both.groupBy("p.x", "p.y").agg(F.sum("value").alias("total"))
     return cells.join(sums, ["x", "y"], "left").select("x", "y", (F.coalesce("total", F.lit(0)) / F.col("cells")).alias("mean"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters as K
 from ..sources import reads as R
 from ..sources import tables as T
+from ..workspace import Workspace
 from .registry import query
 from .sql import VALID
 
@@ -87,8 +88,8 @@ def _site_sql() -> dict[str, str]:
     for s in "12":
         v = f"greatest(1, least(cuts{s}, 1999999))"
         out[f"si{s}"] = (
-            f"SELECT p.id, p.strands{s} AS st, CASE WHEN abs(CASE WHEN p.strands{s} THEN f.fe ELSE f.fs END - {v}) <= 3 THEN greatest(f.chrom * 500, least(f.chrom * 500 + 499, f.abs_idx + 2 * CAST(p.strands{s} AS INTEGER) - 1)) ELSE f.abs_idx END AS m "
-            f"FROM pairs p JOIN frag f ON p.chrms{s} = f.chrom AND {v} > f.fs AND {v} <= f.fe"
+            f"SELECT p.id, p.strands{s} AS st, CASE WHEN abs(CASE WHEN p.strands{s} THEN f.fe ELSE f.fs END - p.v) <= 3 THEN greatest(f.chrom * 500, least(f.chrom * 500 + 499, f.abs_idx + 2 * CAST(p.strands{s} AS INTEGER) - 1)) ELSE f.abs_idx END AS m "
+            f"FROM (SELECT *, {v} AS v FROM pairs WHERE chrms{s} >= 0) p ASOF JOIN frag f ON p.chrms{s} = f.chrom AND p.v > f.fs"
         )
     return out
 
@@ -133,6 +134,15 @@ def fastq_chunks(d):
     return R.chunk_numbers(own, own.count(), 400).groupBy("chunk").agg(F.count("*").alias("records"))
 
 
+@query("fastq_records", "SELECT p_partkey AS n, 'r' || p_partkey || '/1' AS id, repeat('ACGTN', CAST(1 + p_partkey % 9 AS INTEGER)) AS seq, repeat('I', CAST(5 + p_partkey % 9 * 5 AS INTEGER)) AS qual FROM part")
+def fastq_records(d):
+    """Reads written as several FASTQ files and read again."""
+    space = Workspace(d.spark, "fastq")
+    own = d.table("part").selectExpr("p_partkey AS n", "concat('r', p_partkey, '/1') AS id", "repeat('ACGTN', cast(1 + p_partkey % 9 AS int)) AS seq", "repeat('I', cast(5 + p_partkey % 9 * 5 AS int)) AS qual")
+    R.write_fastq(own, space.path("reads"))
+    return R.fastq(d.spark, space.path("reads"))
+
+
 _NAMES = "'exp' || (s_suppkey % 7) || CASE s_suppkey % 4 WHEN 0 THEN '-R1-' WHEN 1 THEN '-R2-' WHEN 2 THEN '-all-' ELSE '-' END || CASE s_suppkey % 3 WHEN 0 THEN 'HindIII' WHEN 1 THEN 'NcoI' ELSE 'none' END"
 
 
@@ -157,9 +167,9 @@ def catalog_masters(d):
 _FILES = "'exp' || (p_partkey % 5) || '-' || CASE p_partkey % 4 WHEN 0 THEN '10k' WHEN 1 THEN '200k' WHEN 2 THEN '1M' ELSE 'raw' END || CASE WHEN p_partkey % 2 = 0 THEN '.hm' ELSE '-x.hm' END"
 
 
-@query("catalog_resolutions", f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 10000 WHEN 1 THEN 200000 WHEN 2 THEN 1000000 END::BIGINT AS resolution FROM part WHERE p_partkey % 4 < 3")
+@query("catalog_resolutions", f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 10000 WHEN 1 THEN 200000 WHEN 2 THEN 1000000 ELSE -1 END::BIGINT AS resolution FROM part")
 def catalog_resolutions(d):
-    return d.table("part").filter("p_partkey % 4 < 3").withColumn("name", F.expr(_FILES)).select("p_partkey", T.resolution_of("name").alias("resolution"))
+    return d.table("part").withColumn("name", F.expr(_FILES)).select("p_partkey", F.coalesce(T.resolution_of("name").cast("long"), F.lit(-1).cast("long")).alias("resolution"))
 
 
 _KEYS = "CASE p_partkey % 5 WHEN 0 THEN {a}'chrms1'{z} WHEN 1 THEN {a}'heatmap', 'resolution'{z} WHEN 2 THEN {a}'0 0', '0 1'{z} WHEN 3 THEN {a}'0 0', '1 1'{z} ELSE {a}'chr1_0_500'{z} END"

@@ -66,8 +66,8 @@ CTES = {
     "ooe0": "SELECT bin1, bin2, chrom1 AS chrom, bin2 - bin1 AS d, value FROM pxc WHERE chrom1 = chrom2",
     "ooem": f"SELECT chrom, d, sum(value) / ({PER}.0 - d) AS mean FROM ooe0 GROUP BY chrom, d",
     "ooe": "SELECT bin1, bin2, chrom, d, value / mean AS value FROM ooe0 JOIN ooem USING (chrom, d)",
-    "loops": "SELECT CAST(p_partkey % 5 AS INTEGER) AS chrom, (p_partkey * 7919) % 1500000 AS start, (p_partkey * 7919) % 1500000 + (p_partkey * 131) % 500000 AS \"end\" FROM part WHERE p_partkey % 3 = 0",
-    "domains": "SELECT CAST(p_partkey % 5 AS INTEGER) AS chrom, (p_partkey * 104729) % 1200000 AS start, (p_partkey * 104729) % 1200000 + 100000 + (p_partkey * 17) % 300000 AS \"end\" FROM part WHERE p_partkey % 3 = 1",
+    "loops": "SELECT CAST(p_partkey % 5 AS INTEGER) AS chrom, (p_partkey * 7919) % 1500000 AS start, (p_partkey * 7919) % 1500000 + (p_partkey * 131) % 500000 AS \"end\" FROM part",
+    "domains": "SELECT CAST(p_partkey % 5 AS INTEGER) AS chrom, (p_partkey * 104729) % 1200000 AS start, (p_partkey * 104729) % 1200000 + 100000 + (p_partkey * 17) % 300000 AS \"end\" FROM part",
 }
 ORDER = list(CTES)
 

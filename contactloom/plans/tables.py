@@ -70,11 +70,11 @@ class Data:
 
     @property
     def loops(self) -> DataFrame:
-        return self.table("part").filter("p_partkey % 3 = 0").selectExpr("cast(p_partkey % 5 as int) as chrom", "(p_partkey * 7919) % 1500000 as start", "(p_partkey * 7919) % 1500000 + (p_partkey * 131) % 500000 as end")
+        return self.table("part").selectExpr("cast(p_partkey % 5 as int) as chrom", "(p_partkey * 7919) % 1500000 as start", "(p_partkey * 7919) % 1500000 + (p_partkey * 131) % 500000 as end")
 
     @property
     def domains(self) -> DataFrame:
-        return self.table("part").filter("p_partkey % 3 = 1").selectExpr(
+        return self.table("part").selectExpr(
             "cast(p_partkey % 5 as int) as chrom", "(p_partkey * 104729) % 1200000 as start", "(p_partkey * 104729) % 1200000 + 100000 + (p_partkey * 17) % 300000 as end"
         )
 

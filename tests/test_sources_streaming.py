@@ -60,6 +60,21 @@ def test_fastq(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 400
 
 
+def test_fastq_in_parts(spark, tmp_path):
+    """Records stay whole however files are cut and dealt to tasks."""
+    for k, n in enumerate((60, 100)):
+        (tmp_path / f"f{k}.fastq").write_text("".join(f"@f{k}r{i}\nACGT{'N' * (i % 7)}\n+\nIIII{'#' * (i % 7)}\n" for i in range(n)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    try:
+        rows = R.fastq(spark, str(tmp_path)).orderBy("n").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert [r["id"] for r in rows] == [f"f0r{i}" for i in range(60)] + [f"f1r{i}" for i in range(100)]
+    assert all(r["seq"].startswith("ACGT") and set(r["qual"]) <= set("I#") and len(r["seq"]) == len(r["qual"]) for r in rows)
+
+
 def test_sam_edge_lines(spark):
     lines = ["@HD\tVN:1", "a\t0\tchr1\t11\t30\t5M\t*\t0\t0\tACGTA\tIIIII\tMD:Z:5", "b\t16\tchr1\t11\t30\t5M\t*\t0\t0\tACGTA\tIIIII\tMD:Z:2A2", "c\t16\tchr1\t11\t30\t5M\t*\t0\t0\tACGTA\tIIIII", "d\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI", "e\t0\tchrZ\t5\t30\t1M\t*\t0\t0\tA\tI\tMD:Z:1"]
     own = R.mapped(R.parse_sam(spark.createDataFrame([(x,) for x in lines], "line string")), fixtures.genome(spark))
@@ -74,7 +89,10 @@ def test_iterative_mapping_retries_what_is_left(spark):
         return df.selectExpr("id AS qname", "0 AS flag", "'chr1' AS rname", "1 AS pos", "CASE WHEN length(seq) >= 25 + cast(substr(id, 2) as int) THEN 30 ELSE 0 END AS mapq", "seq", "'5' AS md", "false AS has_xs")
 
     assert R.iterative_mapping(reads, align, 25, 5, 40).count() == 10
-    assert R.mapping_steps(50, 25) == (26, 12) or R.mapping_steps(50, 25)[0] >= 25
+    assert R.truncations(50, 25) == [25, 34, 42, 50] and R.truncations(20, 25) == [20] and len(R.truncations(500, 25)) == 5
+    for length, least in ((26, 25), (36, 25), (75, 25), (101, 30)):
+        own = R.truncations(length, least)
+        assert own[-1] == length and own[0] == least and own == sorted(set(own))
 
 
 def test_wiggle_and_manifest(spark, tmp_path):
