@@ -7,12 +7,13 @@
    needs no more sequences than its bound is certified and final.
 3. Partitions with a gap keep the sequences that are full and give up the items of the others.
    Those are exchanged (dealt anew, with another seed, to fewer partitions) and packed again.  It
-   ends when no partition has a gap, when a round saves nothing, or after ``rounds`` rounds.  A
-   last round lets every partition's emptiest sequence exchange its items as well.
+   ends when no partition has a gap or a round saves nothing (``rounds`` is a guard).  Every round
+   lets each partition's emptiest sequence exchange its items as well.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import frugal
 from .common import Workspace
 
 CAPACITY = 2048
@@ -29,16 +31,14 @@ PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc3
 
 class Encoder:
     """Ids of a byte-level BPE vocabulary.  The rank file of the same vocabulary gives the same ids
-    in a fraction of the time; texts that hold an added token's string go to the JSON file."""
+    in a fraction of the time; texts that hold an added token's string go to the JSON file, which
+    is only read for them."""
 
-    def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None, added: list[str] | None = None):
         import base64
 
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(json_path)
-        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.json_path, self.whole, self.fast = json_path, None, None
+        self.added = added_tokens(json_path) if added is None else added
         if ranks_path:
             import tiktoken
 
@@ -51,6 +51,19 @@ class Encoder:
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    @property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        self.whole = self.whole or Tokenizer.from_file(self.json_path)
+        return self.whole
+
+
+def added_tokens(json_path: str) -> list[str]:
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(json_path).get_added_tokens_decoder().values()]
+
 
 def public_vocabulary() -> dict:
     import public_tokenizers as p
@@ -70,12 +83,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabular
     import public_tokenizers  # noqa: F401  the default vocabulary's place, found again on executors
 
     chosen = vocabulary
+    added = added_tokens((chosen or public_vocabulary())["json_path"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        encoder = Encoder(**(chosen or public_vocabulary()))
-        for batch in batches:
+        encoder = Encoder(**(chosen or public_vocabulary()), added=added)
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             out: list[tuple] = []
             held: list[np.ndarray] = []
             for k in range(batch.num_rows):
@@ -96,7 +110,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabular
 
     # row_id tells rows with the same doc_id apart; the pieces are written once, so it stays
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(scan, PIECES + (", ids array<int>" if with_ids else ""))
+    return slim.mapInArrow(frugal(scan), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -171,8 +185,9 @@ def _pack(items: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
     return items.select("doc_id", "row_id", "piece", "length", part.alias("part")).groupBy("part").applyInPandas(pack, PACKED)
 
 
-def assign(space: Workspace, items: DataFrame, capacity: int = CAPACITY, group_rows: int = 65536, rounds: int = 4) -> DataFrame:
-    """(row_id, piece, sequence_id, offset) of every item; the sequence ids are no run of numbers."""
+def assign(space: Workspace, items: DataFrame, capacity: int = CAPACITY, group_rows: int = 65536, rounds: int = 30) -> DataFrame:
+    """(row_id, piece, sequence_id, offset) of every item; the sequence ids are no run of numbers.  What the last
+    round leaves without a certificate is logged."""
     done: list[DataFrame] = []
     own = F.struct(F.col("round"), F.col("part"), F.col("sequence"))
     count = items.count()
@@ -195,6 +210,9 @@ def assign(space: Workspace, items: DataFrame, capacity: int = CAPACITY, group_r
         done.append(packed.filter(~again))
         previous, last_used = packed.filter(again), open_
         items = previous
+    last = done[-1].agg(F.countDistinct(F.when(F.col("gap") > 0, F.col("part"))).alias("parts"), F.max("gap").alias("gap")).first()
+    if last["parts"]:
+        logging.getLogger(__name__).warning("packing: %d parts stay up to %d sequences over their bounds", last["parts"], last["gap"])
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -202,7 +220,7 @@ def assign(space: Workspace, items: DataFrame, capacity: int = CAPACITY, group_r
     return out.select("row_id", "piece", number.alias("sequence_id"), "offset")
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary: dict | None = None, group_rows: int = 65536, rounds: int = 4, with_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary: dict | None = None, group_rows: int = 65536, rounds: int = 30, with_ids: bool = False) -> DataFrame:
     """A row per piece of ``docs`` (``doc_id``, ``text``): doc_id, piece, start, length, ids_crc32,
     sequence_id, offset and, if asked for, ids.
 
