@@ -34,12 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
+#: Rows of an Arrow batch at most.  Ten thousand, the usual number, are tens of megabytes of text, which
+#: executors then hold several times over.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let the session send at most BATCH_ROWS rows at a time to Python, unless it sends fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """A folder of intermediate tables.  Writing one cuts the lineage: what follows reads files
-    that every executor sees, so a lost executor costs only its running tasks."""
+    that every executor sees, so a lost executor costs only its running tasks.  The session's Arrow
+    batches are kept short from then on."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        short_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import PIECE, byte_sizes, byte_strings, pieces, runs
+from .columns import PIECE, blocks, byte_sizes, byte_strings, frugal, pieces, runs, unblocked
 from .common import WORD, Workspace, text_or_empty
 
 LAST = (1 << 63) - 1
@@ -139,7 +139,7 @@ def rarity(texts: DataFrame, buckets: int, chunks: int = 64) -> np.ndarray:
 
     schema = "chunk int, block binary"
     out = np.zeros((chunks, size), np.int64)
-    for r in texts.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
+    for r in texts.select("text").mapInArrow(frugal(count), schema).repartition("chunk").mapInArrow(frugal(add), schema).collect():
         out[r["chunk"]] = np.frombuffer(r["block"], np.int64)
     return out.reshape(-1)[:buckets]
 
@@ -176,7 +176,6 @@ def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        import zstandard
 
         own = sums.value
         shift = max(0, int(own.max(initial=0)).bit_length() - 19)  # the largest sum in 19 bits
@@ -187,21 +186,12 @@ def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int
         def rows(size: int, **cols) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
 
-        def blocks() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            e = {c: np.concatenate([h[c] for h in held]) for c, _ in ENTRY}
+        def poured() -> Iterator[pa.RecordBatch]:
+            e = {c: np.concatenate([h[c] for h in held]) for c, _ in ENTRY} if held else {"token": ()}
             held.clear()
-            if not len(e["token"]):
-                return
-            bundle = (e["token"].astype(np.int64) * bundles) >> 32
-            order = np.argsort(bundle, kind="stable")
-            bundle, e = bundle[order], {c: np.ascontiguousarray(e[c][order].astype(t)) for c, t in ENTRY}
-            pack = zstandard.ZstdCompressor(level=1).compress
-            starts = np.flatnonzero(np.r_[True, bundle[1:] != bundle[:-1]])
-            for some in np.array_split(np.arange(len(starts)), max(1, len(starts) // 64)):
-                made = [pack(b"".join(e[c][starts[i] : starts[i + 1] if i + 1 < len(starts) else None].tobytes() for c, _ in ENTRY)) for i in some]
-                yield rows(len(some), bundle=bundle[starts[some]].astype(np.int32), block=made)
+            if len(e["token"]):
+                for bundle, made in blocks(e, ENTRY, (e["token"].astype(np.int64) * bundles) >> 32):
+                    yield rows(len(made), bundle=bundle, block=made)
 
         for batch in batches:
             ids, uids = (batch.column(i).to_numpy() for i in (0, 1))
@@ -248,10 +238,10 @@ def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int
                         token[i] = xxhash.xxh32_intdigest(b"%d %d %d" % (token[i], min(part[i], other[i]), max(part[i], other[i])))
                 held.append({"token": token, "cls": d0[at], "low": low[at], "high": high[at], "doc": doc[at], "line": place[at], "n": n[at], "pos": pos, "side": side})
                 if sum(len(h["token"]) for h in held) >= flush:
-                    yield from blocks()
-        yield from blocks()
+                    yield from poured()
+        yield from poured()
 
-    return texts.mapInArrow(scan, "bundle int, block binary, doc long, uid long, line int, d0 long, d1 long, lead boolean")
+    return texts.mapInArrow(frugal(scan), "bundle int, block binary, doc long, uid long, line int, d0 long, d1 long, lead boolean")
 
 
 def _nearest(e: dict[str, np.ndarray], threshold: float, best: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -311,22 +301,11 @@ def _meet(scanned: DataFrame, threshold: float, best: int) -> DataFrame:
     columns |= {"token": pa.int64(), "n": pa.int32(), "pos": pa.int32(), "side": pa.int8(), "low": pa.int64(), "high": pa.int64(), "more": pa.bool_()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         def rows(size: int, **cols) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(size, t) for c, t in columns.items()], names=list(columns))
 
-        def done(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-            unpack = zstandard.ZstdDecompressor().decompress
-            parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
-            wide = sum(np.dtype(t).itemsize for _, t in ENTRY)
-            for block in blocks:
-                raw = unpack(block)
-                size, at = len(raw) // wide, 0
-                for c, t in ENTRY:
-                    parts[c].append(np.frombuffer(raw, t, size, at))
-                    at += size * np.dtype(t).itemsize
-            e = {c: np.concatenate(p) for c, p in parts.items()}
+        def done(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+            e = unblocked(packed, ENTRY)
             # words of one list only once: alone they have no partner
             key = np.sort(e["token"].astype(np.uint64) << np.uint64(32) | np.arange(len(e["token"]), dtype=np.uint64))
             t, order = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -377,7 +356,7 @@ def _meet(scanned: DataFrame, threshold: float, best: int) -> DataFrame:
             yield from done(held)
 
     schema = "kind byte, " + _PAIR + ", uid long, d1 long, lead boolean, token long, n int, pos int, side byte, low long, high long, more boolean"
-    return scanned.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(scan, schema)
+    return scanned.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(frugal(scan), schema)
 
 
 def _meet_rest(entries: DataFrame, threshold: float) -> DataFrame:
@@ -404,7 +383,7 @@ def _meet_rest(entries: DataFrame, threshold: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield from done(held)
 
-    return entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(scan, _PAIR)
+    return entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(frugal(scan), _PAIR)
 
 
 def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24, few: int = 20_000) -> DataFrame:
@@ -458,7 +437,7 @@ def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24, few: in
     if wanted.count() <= few:
         texts = texts.join(F.broadcast(wanted.select("doc").distinct()), "doc", "left_semi")
     lines = texts.select("doc", place.alias("p"), text_or_empty().alias("text"))
-    found = lines.mapInArrow(scan, "doc long, line long, cls long, d1 long, words array<long>")
+    found = lines.mapInArrow(frugal(scan), "doc long, line long, cls long, d1 long, words array<long>")
     return found.join(wanted, ["doc", "line", "cls"], "left_semi").dropDuplicates(["doc", "line", "cls", "d1"])
 
 
@@ -534,15 +513,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     schema = "doc_id long, n_lines long, n_removed long, text string, times long"
     doc_id = F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id")
     every = texts.join(out, ["doc", "uid"], "left")
-    once = every.filter("times IS NULL").select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(rest_of, schema)
+    once = every.filter("times IS NULL").select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(frugal(rest_of), schema)
     if twice.isEmpty():
         return once.drop("times")
     # of rows that repeat doc_id and text one travels on, with their number
     alike = texts.join(out.filter("times IS NOT NULL").select("doc", "uid"), ["doc", "uid"], "left_semi").groupBy("doc", "uid").agg(F.first("text").alias("text"))
     alike = space.write(alike.join(out, ["doc", "uid"]), "alike")
-    firsts = alike.select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(rest_of, schema)
+    firsts = alike.select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(frugal(rest_of), schema)
     blank = F.transform(F.split("text", "\n", -1), lambda x: ~x.rlike(WORD))
     every_line = F.filter(F.sequence(F.lit(0), F.size(blank) - 1), lambda i: ~F.get(blank, i)).cast("array<long>")
-    copies = alike.select(doc_id, "text", every_line.alias("dropped"), (F.col("times") - 1).alias("times")).mapInArrow(rest_of, schema)
+    copies = alike.select(doc_id, "text", every_line.alias("dropped"), (F.col("times") - 1).alias("times")).mapInArrow(frugal(rest_of), schema)
     copies = copies.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return once.unionByName(firsts).unionByName(copies).drop("times")

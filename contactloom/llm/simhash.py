@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import frugal
 from .common import Workspace
 from .components import components
 
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(scan, "doc_id long, fp long")
+    return slim.mapInArrow(frugal(scan), "doc_id long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -181,7 +182,7 @@ def links(spark: SparkSession, space: Workspace, nodes: DataFrame, count: int, r
             yield from done(held[0])
 
     keys = ["choice", "bits", "pair"]
-    return met.repartition(*keys).sortWithinPartitions(*keys, "side", "fp").mapInArrow(scan, "a long, b long")
+    return met.repartition(*keys).sortWithinPartitions(*keys, "side", "fp").mapInArrow(frugal(scan), "a long, b long")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import byte_sizes, byte_strings, pieces, runs
+from .columns import byte_sizes, byte_strings, frugal, pieces, runs
 from .common import Workspace, text_or_empty
 
 #: Letters that a character is written for.
@@ -307,7 +307,7 @@ def count_trigrams(texts: DataFrame, held: int = 500_000) -> dict[str, int]:
                     keys, counts = keys[:0], counts[:0]
         yield told()
 
-    counted = texts.select("text").mapInArrow(count, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.select("text").mapInArrow(frugal(count), "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).toPandas()
     letters = (1 << 21) - 1
     return {chr(t >> 42) + chr(t >> 21 & letters) + chr(t & letters): n for t, n in zip(counted["tri"].tolist(), counted["n"].tolist(), strict=True)}
 
@@ -345,7 +345,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: in
                 every += map(sorted, own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(every, pa.list_(pa.string()))], names=["doc_id", "toxic", "names"])
 
-    seen = space.write(sample.mapInArrow(present, "doc_id long, toxic int, names array<string>"), "seen")
+    seen = space.write(sample.mapInArrow(frugal(present), "doc_id long, toxic int, names array<string>"), "seen")
     totals = seen.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0
     if not n or toxic in (0, n):
@@ -382,7 +382,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             made = own.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), pa.array((made >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(scan, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(frugal(scan), "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -393,8 +393,12 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     @arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scan(batches)
+
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = received(held)
         for texts in batches:
             yield pa.array(own.scores(texts) < 0.5)
 
+    scan = frugal(judge)
     return docs.filter(clean(text_or_empty()))
