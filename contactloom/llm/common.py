@@ -48,12 +48,13 @@ def short_batches(spark: SparkSession) -> None:
 
 class Workspace:
     """A folder of intermediate tables.  Writing one cuts the lineage: what follows reads files
-    that every executor sees, so a lost executor costs only its running tasks.  The session's Arrow
-    batches are kept short from then on."""
+    that every executor sees, so a lost executor costs only its running tasks.  With ``short``, the
+    session's Arrow batches are kept short from then on."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, short: bool = True):
         self.spark = spark
-        short_batches(spark)
+        if short:
+            short_batches(spark)
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -67,6 +68,15 @@ class Workspace:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(self.path(name))
 
+    def keep_only(self, *names: str) -> None:
+        """Remove all tables but those that the result still reads."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.listStatus(root) if files.exists(root) else ():
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm = self.spark._jvm

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import PIECE, blocks, byte_sizes, byte_strings, frugal, pieces, runs, unblocked
+from .columns import PIECE, blocks, byte_sizes, byte_strings, pieces, runs, unblocked
 from .common import WORD, Workspace, text_or_empty
 
 LAST = (1 << 63) - 1
@@ -139,7 +139,7 @@ def rarity(texts: DataFrame, buckets: int, chunks: int = 64) -> np.ndarray:
 
     schema = "chunk int, block binary"
     out = np.zeros((chunks, size), np.int64)
-    for r in texts.select("text").mapInArrow(frugal(count), schema).repartition("chunk").mapInArrow(frugal(add), schema).collect():
+    for r in texts.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
         out[r["chunk"]] = np.frombuffer(r["block"], np.int64)
     return out.reshape(-1)[:buckets]
 
@@ -241,7 +241,7 @@ def _scan(texts: DataFrame, sums, threshold: float, list_rows: int, bundles: int
                     yield from poured()
         yield from poured()
 
-    return texts.mapInArrow(frugal(scan), "bundle int, block binary, doc long, uid long, line int, d0 long, d1 long, lead boolean")
+    return texts.mapInArrow(scan, "bundle int, block binary, doc long, uid long, line int, d0 long, d1 long, lead boolean")
 
 
 def _nearest(e: dict[str, np.ndarray], threshold: float, best: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -356,7 +356,7 @@ def _meet(scanned: DataFrame, threshold: float, best: int) -> DataFrame:
             yield from done(held)
 
     schema = "kind byte, " + _PAIR + ", uid long, d1 long, lead boolean, token long, n int, pos int, side byte, low long, high long, more boolean"
-    return scanned.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(frugal(scan), schema)
+    return scanned.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(scan, schema)
 
 
 def _meet_rest(entries: DataFrame, threshold: float) -> DataFrame:
@@ -383,7 +383,7 @@ def _meet_rest(entries: DataFrame, threshold: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield from done(held)
 
-    return entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(frugal(scan), _PAIR)
+    return entries.repartition("token").sortWithinPartitions("token", "n").mapInArrow(scan, _PAIR)
 
 
 def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24, few: int = 20_000) -> DataFrame:
@@ -423,11 +423,10 @@ def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24, few: in
             at = (batch.column(1).to_numpy()[row] + line * move) % bits
             hit = np.flatnonzero(view[at >> 5] >> (at & 31).astype(np.uint32) & 1)
             row, line, docs = row[hit], line[hit].tolist(), batch.column(0)
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)]).tolist()
-            for a, b in zip(starts, [*starts[1:], len(row)], strict=True):
+            for a, n in zip(*map(np.ndarray.tolist, runs(row)), strict=True):
                 k = int(row[a])
                 doc, lines = docs[k].as_py(), batch.column(2)[k].as_buffer().to_pybytes().split(b"\n")
-                found += [(doc, i, lines[i]) for i in line[a:b]]
+                found += [(doc, i, lines[i]) for i in line[a : a + n]]
                 if len(found) > 4096:
                     yield sets(found)
                     found = []
@@ -437,7 +436,7 @@ def _word_sets(texts: DataFrame, wanted: DataFrame, bits: int = 1 << 24, few: in
     if wanted.count() <= few:
         texts = texts.join(F.broadcast(wanted.select("doc").distinct()), "doc", "left_semi")
     lines = texts.select("doc", place.alias("p"), text_or_empty().alias("text"))
-    found = lines.mapInArrow(frugal(scan), "doc long, line long, cls long, d1 long, words array<long>")
+    found = lines.mapInArrow(scan, "doc long, line long, cls long, d1 long, words array<long>")
     return found.join(wanted, ["doc", "line", "cls"], "left_semi").dropDuplicates(["doc", "line", "cls", "d1"])
 
 
@@ -465,7 +464,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     first, and lines with words go from all others.  An empty table gives an empty result.  Other
     columns, of any name, are not read.
     """
-    space = Workspace(spark, "line-dedup")
+    # texts are cut into pieces of bounded size, so batches may be long
+    space = Workspace(spark, "line-dedup", short=False)
     texts = _texts(docs)
     counted = rarity(texts, buckets)
     bundles = int(min(max(1, counted.sum() // bundle_words), 1 << 30))
@@ -495,7 +495,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     twice = lines.filter("lead").groupBy("doc", "uid").agg(F.count("*").alias("times")).filter("times > 1")
     out = space.write(out.join(twice, ["doc", "uid"], "full"), "dropped")
     twice = out.filter("times IS NOT NULL")
-    space.drop("met", "decided", "members", "firsts", "asking", "tokens", "again", "found-first", "found-rest")
+    space.keep_only("dropped")
 
     def rest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,15 +513,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     schema = "doc_id long, n_lines long, n_removed long, text string, times long"
     doc_id = F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id")
     every = texts.join(out, ["doc", "uid"], "left")
-    once = every.filter("times IS NULL").select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(frugal(rest_of), schema)
+    once = every.filter("times IS NULL").select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(rest_of, schema)
     if twice.isEmpty():
         return once.drop("times")
     # of rows that repeat doc_id and text one travels on, with their number
     alike = texts.join(out.filter("times IS NOT NULL").select("doc", "uid"), ["doc", "uid"], "left_semi").groupBy("doc", "uid").agg(F.first("text").alias("text"))
     alike = space.write(alike.join(out, ["doc", "uid"]), "alike")
-    firsts = alike.select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(frugal(rest_of), schema)
+    firsts = alike.select(doc_id, "text", "dropped", F.lit(1).cast("long").alias("times")).mapInArrow(rest_of, schema)
     blank = F.transform(F.split("text", "\n", -1), lambda x: ~x.rlike(WORD))
     every_line = F.filter(F.sequence(F.lit(0), F.size(blank) - 1), lambda i: ~F.get(blank, i)).cast("array<long>")
-    copies = alike.select(doc_id, "text", every_line.alias("dropped"), (F.col("times") - 1).alias("times")).mapInArrow(frugal(rest_of), schema)
+    copies = alike.select(doc_id, "text", every_line.alias("dropped"), (F.col("times") - 1).alias("times")).mapInArrow(rest_of, schema)
     copies = copies.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return once.unionByName(firsts).unionByName(copies).drop("times")
