@@ -177,6 +177,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
         ),
         "cut",
     )
+    space.keep_only("cut")
     joined = rows.join(
         cut,
         F.col("source").cast("string").eqNullSafe(F.col("_cut_source")) & (F.col(size) == F.col("_cut_size")) & (F.col(salt) == F.col("_cut_salt")),

@@ -232,6 +232,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
     made = space.write(pieces(docs, capacity, end_id, vocabulary, with_ids), "pieces")
     items = made.filter(F.col("length") < capacity).select("doc_id", "row_id", "piece", "length")
     placed = space.write(assign(space, items, capacity, group_rows, rounds), "placed")
+    space.keep_only("pieces", "placed")
     full = made.filter(F.col("length") == capacity)
     # a full piece is a sequence; negative numbers keep clear of the others
     alone = full.withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))

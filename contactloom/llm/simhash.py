@@ -185,7 +185,7 @@ def links(spark: SparkSession, space: Workspace, nodes: DataFrame, count: int, r
     return met.repartition(*keys).sortWithinPartitions(*keys, "side", "fp").mapInArrow(frugal(scan), "a long, b long")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, **options) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, space: Workspace | None = None, **options) -> DataFrame:
     """A row per row of ``docs`` (``doc_id``, ``text``): doc_id, fp, component_id.
 
     component_id is the smallest doc_id of the component.  Null texts, empty texts and texts of
@@ -193,7 +193,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 4, radius: int
     never name a component unless it has no other.  Repeated rows are members like any others.  An
     empty table gives an empty result.  Other columns, of any name, are not read.
     """
-    space = Workspace(spark, "simhash")
+    space = space or Workspace(spark, "simhash")
     members = space.write(fingerprints(docs, width, seed), "members")
     nodes = space.write(members.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     edges = space.write(links(spark, space, nodes, nodes.count(), radius, **options).distinct(), "edges")
@@ -202,6 +202,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 4, radius: int
     named = space.write(named, "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = space.write(named.join(ids, "root").select("fp", "component_id"), "classes")
+    space.keep_only("members", "classes")
     return members.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -214,11 +215,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     space = Workspace(spark, "simhash-keep")
     own = free_name(docs, "_row")
     rows = space.write(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-    found = near_dedup(spark, rows.select(F.col(own).alias("doc_id"), "text"), **options)
+    found_in = Workspace(spark, "simhash")
+    found = near_dedup(spark, rows.select(F.col(own).alias("doc_id"), "text"), space=found_in, **options)
     ids = rows.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("id"))
     named = found.join(ids, F.col("doc_id") == F.col("row"))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
     kept = space.write(first.select(F.col("first.row").alias("_kept_row")), "kept")
+    found_in.keep_only()
     return rows.join(kept, F.col(own) == F.col("_kept_row"), "left_semi").drop(own)
 
 

@@ -315,7 +315,8 @@ def count_trigrams(texts: DataFrame, held: int = 500_000) -> dict[str, int]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, features: int = 512) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    Labels that are null, not 0 or 1, or held out aren't learned from.  Without any left, every
+    Labels that are null, not 0 or 1, or held out aren't learned from; of labels of one doc_id that
+    disagree, 1 counts.  Without any left, every
     text scores as the empty prior, 0.5 at most.
     """
     space = Workspace(spark, "toxicity")

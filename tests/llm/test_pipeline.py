@@ -37,6 +37,20 @@ def test_stages(spark):
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_run_and_edges(spark, edge, nothing):
+    """The whole run packs just what its stages leave; every stage takes nulls, copies and no rows."""
+    sizes = {}
+    for docs, name in ((edge, "edge"), (nothing, "nothing")):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            own = stage(spark, docs, SF)
+            assert k == 4 or own.columns == docs.columns
+            sizes[name, k] = own.count()
+    assert [sizes["nothing", k] for k in range(5)] == [0] * 5
+    assert sizes["edge", 1] == 9 and sizes["edge", 2] == 8
+    out = corpus_pipeline.run(spark, SF).toPandas()
+    assert (out.groupby("sequence_id").length.sum() <= 2048).all() and len(out) > 100
+
+
 def test_registry():
     names = list(registry.queries())
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] and len(names) == 10
