@@ -9,13 +9,16 @@ if an earlier document (by doc_id) has the same set, or one whose Jaccard simila
 2. A document of n shingles is listed under its first n - ceil(threshold * n) + 1 ones.  Similar
    documents share such a shingle.  Lists of one are left out; ranks in a list go by age.
 3. Undecided documents meet the first one of each of their lists, then the next 8, 64 and so on,
-   until none has an earlier one left.  Pairs are tested by length and position, then verified on
-   the sets.
+   until none has an earlier one left.  Pairs are tested by length and position.
+
+All pairs are verified in two steps.  Bitmaps of about a bit a shingle hold the parity of the shingles
+that fall on each bit; two of them differ in no more bits than the sets do in shingles, so they rule
+out most pairs without loss.  The sets decide the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,17 +147,39 @@ def _lists(entries: DataFrame) -> DataFrame:
     return entries.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(frugal(scan), "key long, doc long, id long, n int, pos int, rank int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _parities(own: np.ndarray) -> np.ndarray:
+    """A bitmap, as longs, of the parity of the hashes on each of its bits.  It has the least power of two
+    of bits that the set has hashes, 64 at least; one of half the size is its halves' exclusive or."""
+    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (id, to) that their sizes and bitmaps leave possible."""
+    other = maps.select(F.col("id").alias("to"), F.col("n").alias("m"), F.col("own").alias("theirs"))
+    wide = F.least(F.size("own"), F.size("theirs"))
+
+    def folded(c: str):
+        return F.when(F.size(c) > wide, F.zip_with(F.slice(c, F.lit(1), wide), F.slice(c, wide + 1, wide), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+
+    apart = F.aggregate(F.zip_with(folded("own"), folded("theirs"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6
+    both = pairs.join(maps, "id").join(other, "to").filter(near)
+    return both.filter(apart <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6).select("id", "to")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The ids of pairs (id, to) whose sets are similar."""
     other = sets.select(F.col("id").alias("to"), F.col("own").alias("theirs"))
     both = F.size(F.array_intersect("own", "theirs"))
     alike = both >= threshold * (F.size("own") + F.size("theirs") - both) - 1e-9
-    return pairs.join(sets, "id").join(other, "to").filter(alike).select("id").distinct()
+    return pairs.join(sets.drop("n"), "id").join(other, "to").filter(alike).select("id").distinct()
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 24) -> DataFrame:
-    """(id, own) of the wanted texts, own being the set.  Tasks get a bit set of fixed size
-    that tells most other texts apart; the join that follows is exact."""
+def _sets(texts: DataFrame, wanted: DataFrame, width: int, form: Callable[[np.ndarray], np.ndarray], bits: int = 1 << 24) -> DataFrame:
+    """(id, n, own) of the wanted texts: the set's size and what ``form`` makes of it.  Tasks get a bit
+    set of fixed size that tells most other texts apart; the join that follows is exact."""
     place = F.pmod("id", F.lit(bits))
     view = np.zeros(bits // 32, np.uint32)
     # 32 bits a row, so at most bits / 32 rows come to the driver
@@ -169,9 +194,24 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 24)
                 yield batch.take(pa.array(np.flatnonzero(held.value[p // 32] >> (p % 32).astype(np.uint32) & 1)))
 
         for part, own in _hashed(some(), width):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["id", "own"])
+            made = pa.array([form(s) for s in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int32()), made], names=["id", "n", "own"])
+
+    return texts.select("id", "text").mapInArrow(frugal(scan), "id long, n int, own array<long>").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
-    return texts.select("id", "text").mapInArrow(frugal(scan), "id long, own array<long>").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, width: int, threshold: float, number: int) -> DataFrame:
+    """The ids of pairs (id, to) whose sets are similar; what it leaves in ``space`` is ``sets-number``
+    and ``possible-number``, which the result reads."""
+    forms = (("maps", _parities), ("sets", lambda own: own.view(np.int64)))
+    for name, form in forms:
+        wanted = space.write(pairs.select("id").unionByName(pairs.select(F.col("to").alias("id"))).distinct(), f"wanted-{number}")
+        own = space.write(_sets(texts, wanted, width, form), f"{name}-{number}")
+        if name == "maps":
+            pairs = space.write(_possible(pairs, own, threshold), f"possible-{number}")
+            space.drop(f"maps-{number}")
+    space.drop(f"wanted-{number}")
+    return _alike(pairs, own, threshold)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, sample: int = 16, least: int = 3, most: int = 200_000, bundle_bytes: int = 8 << 20) -> DataFrame:
@@ -200,10 +240,8 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, threshold:
         share = threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6
         able = (F.col("older") < F.col("rank")) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= share)
         pairs = space.write(asks.join(to, "key").filter(able).select("id", "to").distinct(), f"pairs-{number}")
-        wanted = space.write(pairs.select("id").unionByName(pairs.select(F.col("to").alias("id"))).distinct(), f"wanted-{number}")
-        sets = space.write(_sets(texts, wanted, width), f"sets-{number}")
-        gone = space.write(gone.unionByName(_verified(pairs, sets, threshold)), f"gone-{number}")
-        space.drop(f"pairs-{number}", f"wanted-{number}", f"sets-{number}")
+        gone = space.write(gone.unionByName(_verified(space, texts, pairs, width, threshold, number)), f"gone-{number}")
+        space.drop(f"pairs-{number}", f"possible-{number}", f"sets-{number}")
         low, high, number = high, high * 8 + 1, number + 1
     other = free_name(docs, "_gone")
     left = docs.join(gone.select(F.col("id").alias(other)), _id() == F.col(other), "left_anti")

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from contactloom.llm import shingles
+from contactloom.llm.common import Workspace
 
 
 def grams(text):
@@ -64,3 +66,43 @@ def test_edges(spark, edge, rows, nothing):
     assert {r.doc_id for r in found.collect()} == {1, 3, 6, 7, 8, None, 10, 11}
     assert found.filter("doc_id = 8").count() == 1
     assert corpus_pipeline.simhash_filter(spark, nothing, "").count() == 0
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_bitmaps_lose_no_similar_pair():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 63, 64, 65, 300, 1000, 5000):
+        for changed in (0, 1, n // 20, n // 5, n):
+            own = np.unique(r.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64))
+            other = np.unique(np.concatenate([own[changed:], r.integers(0, 1 << 63, changed // 2, dtype=np.int64).view(np.uint64)]))
+            a, b = sorted((shingles._parities(own), shingles._parities(other)), key=len)
+            while len(b) > len(a):
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            apart = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(own, other))
+            if n >= 300 and changed == n:
+                assert apart > (len(own) + len(other)) / 9
+
+
+def test_only_sets_of_possible_pairs_are_sent(spark, monkeypatch):
+    """Texts that share a few shingles are told apart before their sets go anywhere."""
+    rows = families(3)
+    own = {i: grams(t) for i, t in rows}
+    near = {i for i in own for j in own if i != j and jaccard(own[i], own[j]) >= 0.65}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {r.id: r.doc_id for r in docs.select("doc_id", shingles._id().alias("id")).collect()}
+    sent, write = set(), Workspace.write
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("sets-"):
+            sent.update(ids[r.id] for r in out.select("id").collect())
+        return out
+
+    monkeypatch.setattr(Workspace, "write", spy)
+    kept = {tuple(r) for r in shingles.keep_first(spark, docs).collect()}
+    assert kept == kept_by_pairs(rows)
+    assert sent and sent <= near
