@@ -4,11 +4,14 @@ A document is the set of its shingles of ``width`` words, each known by 64 bits
 if an earlier document (by doc_id) has the same set, or one whose Jaccard similarity reaches
 ``threshold``, whether the earlier one stays itself or not.
 
-1. Shingles have one order: those that a sample of documents shows to be common come last, then
+1. SimHash fingerprints of the shingles, linked by pivot distance tables (``simhash``), give the
+   first pairs; what they show to be near copies is decided.  Similar documents may lie farther
+   apart in bits than any radius that fingerprints can be searched with, hence the next steps.
+2. Shingles have one order: those that a sample of documents shows to be common come last, then
    by hash.  Any one order makes the next steps exact; the sample only makes them short.
-2. A document of n shingles is listed under its first n - ceil(threshold * n) + 1 ones.  Similar
+3. A document of n shingles is listed under its first n - ceil(threshold * n) + 1 ones.  Similar
    documents share such a shingle.  Lists of one are left out; ranks in a list go by age.
-3. Undecided documents meet the first one of each of their lists, then the next 8, 64 and so on,
+4. Undecided documents meet the first one of each of their lists, then the next 8, 64 and so on,
    until none has an earlier one left.  Pairs are tested by length and position.
 
 All pairs are verified in two steps.  Bitmaps of about a bit a shingle hold the parity of the shingles
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .columns import blocks, by_bundle, frugal, runs, unblocked
 from .common import WORD, Workspace, free_name, text_or_empty
 from .linededup import LAST, prefix_length
-from .simhash import words
+from .simhash import candidates, words
 
 
 #: Columns of a block of entries.
@@ -214,13 +217,14 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, width: int,
     return _alike(pairs, own, threshold)
 
 
-def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, sample: int = 16, least: int = 3, most: int = 200_000, bundle_bytes: int = 8 << 20) -> DataFrame:
+def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, sample: int = 16, least: int = 3, most: int = 200_000, bundle_bytes: int = 8 << 20, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) that are no near copy of an earlier document, with all
     their columns.
 
     Of texts without words one stays.  A null doc_id comes after all others, a null text is an
     empty one.  Of rows that repeat a doc_id and its text, only the one whose columns have the
-    smallest hash may stay.  An empty table gives an empty result.
+    smallest hash may stay.  An empty table gives an empty result.  ``radius`` is that of the
+    fingerprints; the result is the same for any.
     """
     space = Workspace(spark, "shingles")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), _id().alias("id"), text_or_empty().alias("text"))
@@ -230,7 +234,9 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, threshold:
     blank = texts.filter(~F.col("text").rlike(WORD)).select("doc", "id")
     first = blank.agg(F.min(F.struct("doc", "id")).alias("first")).first()["first"]
     gone = blank.filter(F.col("id") != F.lit(first["id"] if first else 0)).select("id").distinct()
-    gone = space.write(gone, "gone-0")
+    pairs = space.write(candidates(spark, texts.filter(F.col("text").rlike(WORD)), width, radius), "pairs-0")
+    gone = space.write(gone.unionByName(_verified(space, texts, pairs, width, threshold, 0)), "gone-0")
+    space.drop("pairs-0", "possible-0", "sets-0")
     low, high, number = 0, 1, 1
     while (lists.join(gone, "id", "left_anti").agg(F.max("rank")).first()[0] or 0) > low:
         asks = lists.join(gone, "id", "left_anti").filter(F.col("rank") > low)

@@ -56,16 +56,18 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``others`` (as longs) and fp, the fingerprint's bits as a signed long."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            *ids, texts = batch.columns
+            made = np.fromiter((fingerprint(t.as_py(), width, seed) for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(made.view(np.int64))], names=[*names, "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(frugal(scan), "doc_id long, fp long")
+    names = ["doc_id", *others]
+    slim = docs.select(*[F.col(c).cast("long").alias(c) for c in names], F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(frugal(scan), ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def _signed(mask: int) -> int:
@@ -206,6 +208,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, width: int = 4, radius: int
     return members.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def candidates(spark: SparkSession, texts: DataFrame, width: int = 4, radius: int = 4, seed: int = 42, **options) -> DataFrame:
+    """Pairs (id, to) of rows of ``texts`` (doc, id, text) whose fingerprints are near, ``to`` being the
+    earlier one by doc, then id: every row with the first one of its fingerprint, and the first ones of
+    two fingerprints for each edge of the forest of links."""
+    space = Workspace(spark, "simhash-candidates")
+    made = fingerprints(texts.withColumnRenamed("doc", "doc_id"), width, seed, ("id",))
+    members = space.write(made.withColumnRenamed("doc_id", "doc"), "members")
+    nodes = space.write(members.groupBy("fp").agg(F.min(F.struct("doc", "id")).alias("first")), "nodes")
+    edges = space.write(links(spark, space, nodes, nodes.count(), radius, **options).distinct(), "edges")
+    same = members.join(nodes, "fp").filter(F.col("id") != F.col("first.id")).select("id", F.col("first.id").alias("to"))
+    ends = edges.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("two")), "b")
+    near = ends.select(F.greatest("one", "two")["id"].alias("id"), F.least("one", "two")["id"].alias("to"))
+    found = space.write(same.unionByName(near).distinct(), "found")
+    space.keep_only("found")
+    return found
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` of each component, with all its columns: that of the smallest doc_id, null
     ids last; of rows that share it, the first as they were read.  Rows are told apart by a number of

@@ -32,8 +32,9 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that share 0.8 or more of their five-word shingles with one of a smaller doc_id.
-    Fingerprints within a few bits miss most such pairs, so the shingles themselves are joined.  Null
-    ids come last; of texts without words one stays."""
+    SimHash fingerprints of these shingles, linked by pivot tables, give the first pairs, and the
+    shingles decide on them.  Fingerprints within a few bits miss most such pairs, so for what is left
+    undecided the shingles themselves are joined.  Null ids come last; of texts without words one stays."""
     return shingles.keep_first(spark, docs, width=5, threshold=0.8)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from contactloom.llm import shingles
+from contactloom.llm import shingles, simhash
 from contactloom.llm.common import Workspace
 
 
@@ -106,3 +106,39 @@ def test_only_sets_of_possible_pairs_are_sent(spark, monkeypatch):
     kept = {tuple(r) for r in shingles.keep_first(spark, docs).collect()}
     assert kept == kept_by_pairs(rows)
     assert sent and sent <= near
+
+
+def test_first_pairs_come_from_fingerprints(spark, monkeypatch):
+    """The stage links fingerprints of five-word shingles by pivot tables; an exact check decides."""
+    rows = families(4)
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    near = {(b, a) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {r.id: r.doc_id for r in docs.select("doc_id", shingles._id().alias("id")).collect()}
+    found, linked, links = [], [], simhash.links
+    write = Workspace.write
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        if name == "pairs-0":
+            found.extend((ids[r.id], ids[r.to]) for r in out.collect())
+        return out
+
+    def linking(*args, **options):
+        linked.append(args)
+        return links(*args, **options)
+
+    monkeypatch.setattr(Workspace, "write", spy)
+    monkeypatch.setattr(simhash, "links", linking)
+    kept = {tuple(r) for r in corpus_pipeline.simhash_filter(spark, docs, "").collect()}
+    assert kept == kept_by_pairs(rows)
+    assert linked and found and set(found) <= near
+
+    def group(pairs):
+        root = {i: i for i in prints}
+        for _ in prints:
+            for b, a in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert group(found) == group(near)
