@@ -71,7 +71,7 @@ def _rows(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
 
-def _search_block(space: Workspace, vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, lists: int, name: str, sample: int) -> DataFrame:
+def _search_block(space: Workspace, vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, lists: int, name: str) -> DataFrame:
     spark, d = space.spark, queries.shape[1]
     block = spark.sparkContext.broadcast((query_ids, queries))
     chunk = max(1, 4_000_000 // max(1, len(query_ids)))  # entries of a score matrix held at a time
@@ -104,10 +104,8 @@ def _search_block(space: Workspace, vectors: DataFrame, query_ids: np.ndarray, q
             if len(row):
                 yield _rows([(np.full(len(row), ids[i]), np.zeros(len(row)), np.floor(row))])
 
-    # k scores of any rows make a safe cutoff, so one row of ``sample`` will do; a query that finds fewer
-    # there has no cutoff, and phase 2 resolves all its entries
-    some = vectors.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(sample)) == 0)
-    gathered = some.mapInArrow(local, SCORES).select("query_id", "score")
+    # a query that finds fewer than k has no cutoff, and phase 2 resolves all its entries
+    gathered = vectors.mapInArrow(local, SCORES).select("query_id", "score")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     low = gathered.withColumn("place", place).filter(F.col("place") == k).select("query_id", "score")
     cutoffs = {r["query_id"]: r["score"] for r in low.collect()}
@@ -153,7 +151,7 @@ def _search_block(space: Workspace, vectors: DataFrame, query_ids: np.ndarray, q
     return out
 
 
-def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, block_rows: int = 4096, sample: int = 8) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, block_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k highest inner products among
     ``vectors`` but rows with its own id; all of them, if fewer.
 
@@ -180,7 +178,7 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
             last = rows[-1]["vec_id"]
             query_ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
             block = np.array([r["v"] for r in rows], dtype=np.int64)
-            out.append(_search_block(space, vectors, query_ids, block, k, lists, f"found-{n}", sample))
+            out.append(_search_block(space, vectors, query_ids, block, k, lists, f"found-{n}"))
             n += 1
     space.drop("vectors", "queries")
     return spark.read.schema(empty.schema).parquet(*[space.path(f"found-{i}") for i in range(n)]) if out else empty

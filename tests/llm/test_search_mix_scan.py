@@ -36,6 +36,25 @@ def test_topk_by_brute_force(spark, options):
         assert sorted(got.get(q, [])) == want, q
 
 
+def test_topk_cutoffs_come_from_every_row(spark, monkeypatch):
+    """Each list gives the best k of all rows, so no query's cutoff lies below their k-th highest score."""
+    rows, df = _vectors(spark, 400)
+    own = topk.quantised(df).filter("size(v) = 6")
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    k, lists = 5, 3
+    topk.search(spark, own, own.filter("vec_id % 20 = 0"), k=k, lists=lists)
+    (ids, queries), cutoffs = sent
+    every = [(r.vec_id, np.array(r.v)) for r in own.collect()]
+    for i, q, cutoff in zip(ids, queries, cutoffs, strict=True):
+        vectors = np.array([v for j, v in every if j != i])
+        scores = np.sort(vectors @ q)[::-1]
+        listed = set()
+        for g in np.array_split(np.arange(6), lists):
+            listed |= set(np.argsort(-(vectors[:, g] @ q[g]), kind="stable")[:k].tolist())
+        assert np.sort(vectors[sorted(listed)] @ q)[::-1][k - 1] <= cutoff <= scores[k - 1]
+
+
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<double>")
     own = topk.quantised(df)
