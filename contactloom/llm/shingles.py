@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +160,8 @@ def _parities(own: np.ndarray) -> np.ndarray:
 
 
 def _possible(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (id, to) that their sizes and bitmaps leave possible."""
+    """The pairs (id, to) that their sizes and bitmaps leave possible.  Bitmaps of one size or twice the
+    other are compared; others, which a threshold of 0.5 or less may leave, rule out nothing."""
     other = maps.select(F.col("id").alias("to"), F.col("n").alias("m"), F.col("own").alias("theirs"))
     wide = F.least(F.size("own"), F.size("theirs"))
 
@@ -169,7 +171,8 @@ def _possible(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
     apart = F.aggregate(F.zip_with(folded("own"), folded("theirs"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6
     both = pairs.join(maps, "id").join(other, "to").filter(near)
-    return both.filter(apart <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6).select("id", "to")
+    far = apart > (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6
+    return both.filter(~((F.greatest(F.size("own"), F.size("theirs")) <= 2 * wide) & far)).select("id", "to")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -180,9 +183,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(sets.drop("n"), "id").join(other, "to").filter(alike).select("id").distinct()
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int, form: Callable[[np.ndarray], np.ndarray], bits: int = 1 << 24) -> DataFrame:
+def _sets(texts: DataFrame, wanted: DataFrame, width: int, form: Callable[[np.ndarray], np.ndarray], bits: int = 1 << 24) -> tuple[DataFrame, Broadcast]:
     """(id, n, own) of the wanted texts: the set's size and what ``form`` makes of it.  Tasks get a bit
-    set of fixed size that tells most other texts apart; the join that follows is exact."""
+    set of fixed size that tells most other texts apart, to be destroyed later; the join that follows
+    is exact."""
     place = F.pmod("id", F.lit(bits))
     view = np.zeros(bits // 32, np.uint32)
     # 32 bits a row, so at most bits / 32 rows come to the driver
@@ -200,7 +204,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int, form: Callable[[np.nd
             made = pa.array([form(s) for s in own], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int32()), made], names=["id", "n", "own"])
 
-    return texts.select("id", "text").mapInArrow(frugal(scan), "id long, n int, own array<long>").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    made = texts.select("id", "text").mapInArrow(frugal(scan), "id long, n int, own array<long>")
+    return made.join(wanted, "id", "left_semi").dropDuplicates(["id"]), held
 
 
 def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, width: int, threshold: float, number: int) -> DataFrame:
@@ -209,7 +214,9 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, width: int,
     forms = (("maps", _parities), ("sets", lambda own: own.view(np.int64)))
     for name, form in forms:
         wanted = space.write(pairs.select("id").unionByName(pairs.select(F.col("to").alias("id"))).distinct(), f"wanted-{number}")
-        own = space.write(_sets(texts, wanted, width, form), f"{name}-{number}")
+        own, held = _sets(texts, wanted, width, form)
+        own = space.write(own, f"{name}-{number}")
+        held.destroy()
         if name == "maps":
             pairs = space.write(_possible(pairs, own, threshold), f"possible-{number}")
             space.drop(f"maps-{number}")
@@ -231,6 +238,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, threshold:
     common = spark.sparkContext.broadcast(_common(texts, width, sample, least, most))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lists = space.write(_lists(_entries(texts, common, width, threshold, int(min(1 + size // bundle_bytes, 1 << 30)))), "lists")
+    common.destroy()
     blank = texts.filter(~F.col("text").rlike(WORD)).select("doc", "id")
     first = blank.agg(F.min(F.struct("doc", "id")).alias("first")).first()["first"]
     gone = blank.filter(F.col("id") != F.lit(first["id"] if first else 0)).select("id").distinct()

@@ -68,6 +68,17 @@ def test_edges(spark, edge, rows, nothing):
     assert corpus_pipeline.simhash_filter(spark, nothing, "").count() == 0
 
 
+def test_low_thresholds_by_all_pairs(spark):
+    """Sets of very different sizes may be similar enough."""
+    r = np.random.default_rng(6)
+    base = [f"w{i}" for i in r.integers(0, 10_000, 600)]
+    rows = [(i, " ".join(base[:n])) for i, n in enumerate((600, 540, 250, 245, 130, 60, 25, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold in (0.4, 0.2):
+        kept = {tuple(r) for r in shingles.keep_first(spark, docs, threshold=threshold).collect()}
+        assert kept == kept_by_pairs(rows, threshold)
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
