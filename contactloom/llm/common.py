@@ -39,11 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
 BATCH_ROWS = 1000
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Let the session send at most BATCH_ROWS rows at a time to Python, unless it sends fewer already."""
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session send at most ``rows`` rows at a time to Python, unless it sends fewer already."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 class Workspace:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from contactloom.llm import exact_dedup, mixing, packing, shingles, toxicity
-from contactloom.llm.common import Workspace, table
+from contactloom.llm.common import Workspace, short_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,9 +63,15 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch at most.  Executors keep what the stages before have left in memory, so the
+#: pipeline sends fewer rows at a time than an operator alone.
+BATCH_ROWS = 250
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; what a stage has read is removed once its result is written."""
     space = Workspace(spark, "pipeline")
+    short_batches(spark, BATCH_ROWS)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = space.write(stage(spark, docs, sf_dir), name)
