@@ -46,6 +46,15 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have executors collect their heaps, which then give the memory they no longer use back to the system;
+    left alone, a heap stays as large as the largest operator made it.  A task for each core, all at once,
+    reaches every executor that isn't busy."""
+    cores = spark.sparkContext.defaultParallelism
+    tasks = spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("done"))
+    tasks.write.format("noop").mode("overwrite").save()
+
+
 class Workspace:
     """A folder of intermediate tables.  Writing one cuts the lineage: what follows reads files
     that every executor sees, so a lost executor costs only its running tasks.  With ``short``, the

@@ -51,6 +51,18 @@ def test_run_and_edges(spark, edge, nothing):
     assert (out.groupby("sequence_id").length.sum() <= 2048).all() and len(out) > 100
 
 
+def test_stages_begin_lean(spark, nothing):
+    """Every stage, called by itself, keeps Arrow batches short and collects the heaps first."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(rows)
+        before = full()
+        stage(spark, nothing, SF)
+        assert int(spark.conf.get(rows)) <= corpus_pipeline.BATCH_ROWS and full() > before, name
+
+
 def test_registry():
     names = list(registry.queries())
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] and len(names) == 10
