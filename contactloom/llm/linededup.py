@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import PIECE, blocks, byte_sizes, byte_strings, pieces, runs, unblocked
-from .common import WORD, Workspace, text_or_empty
+from .common import WORD, Workspace, shrink_heaps, text_or_empty
 
 LAST = (1 << 63) - 1
 #: Columns of a block of entries, in its order of bytes.
@@ -466,6 +466,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     """
     # texts are cut into pieces of bounded size, so batches may be long
     space = Workspace(spark, "line-dedup", short=False)
+    # a heap that an earlier query made large would come on top of the workers' memory
+    shrink_heaps(spark)
     texts = _texts(docs)
     counted = rarity(texts, buckets)
     bundles = int(min(max(1, counted.sum() // bundle_words), 1 << 30))
@@ -496,6 +498,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     out = space.write(out.join(twice, ["doc", "uid"], "full"), "dropped")
     twice = out.filter("times IS NOT NULL")
     space.keep_only("dropped")
+    # what follows sorts whole texts, beside workers that still hold what the lists took
+    shrink_heaps(spark)
 
     def rest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,6 +65,15 @@ def test_edges(spark, rows, edge, nothing):
     assert L.dedup_lines(spark, nothing).count() == 0
 
 
+def test_heaps_are_collected(spark, nothing):
+    """Before the lines are read, and again before the texts travel, executors collect their heaps."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    L.dedup_lines(spark, nothing)
+    assert full() >= before + 2
+
+
 @pytest.mark.parametrize("options", [{}, {"best": 1}, {"best": 1, "list_rows": 5, "buckets": 64}, {"best": 2, "bundle_words": 40}])
 def test_families_near_the_threshold(spark, options):
     """Variants of a few lines, many of them just below or above the threshold; with one candidate
