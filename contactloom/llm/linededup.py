@@ -474,6 +474,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, bu
     sums = spark.sparkContext.broadcast(counted)
     met = space.write(_meet(_scan(texts, sums, threshold, list_rows, bundles), threshold, best), "met")
     ids = ["doc", "line", "cls"]
+    # before texts are read again, as at the beginning
+    shrink_heaps(spark)
     found = _verified(space, texts, met.filter("kind = 1").select(*ids, "to_doc", "to_line", "to_cls").distinct(), threshold, "first")
     entries = met.filter("kind = 2")
     asking = space.write(entries.filter("more").select(*ids).distinct().join(found, ids, "left_anti"), "asking")
