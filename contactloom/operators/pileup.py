@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..genome import Genome, small
-from .rangejoin import points_in_intervals
 
 
 def loop_windows(loops: DataFrame, genome: Genome, resolution: int, pad: int, least_bins: int = 10) -> DataFrame:
@@ -98,13 +97,28 @@ def near_domains(loops: DataFrame, domains: DataFrame, within: int = 80_000) ->
     return own.join(listed, on, "left_semi").drop("_lb")
 
 
-def reads_in_intervals(contacts: DataFrame, intervals: DataFrame, width: int = 100_000) -> DataFrame:
-    """Number of cuts in each interval (chrom, start, end), bounds start < cut <= end."""
-    cuts = contacts.select(F.explode(F.array(*[F.struct(F.col("chrms" + s).alias("chrom"), F.col("cuts" + s).alias("cut")) for s in "12"])).alias("c")).select("c.*").filter("chrom >= 0")
-    # equal cuts fall in equal intervals: count them first
-    cuts = cuts.groupBy("chrom", "cut").agg(F.count("*").alias("k"))
-    hit = points_in_intervals(cuts, F.col("cut"), intervals.select("chrom", "start", "end"), ["chrom"], "start", "end", width)
-    return hit.groupBy("chrom", "start", "end").agg(F.sum("k").alias("n"))
+def reads_in_intervals(contacts: DataFrame, intervals: DataFrame, width: int = 10_000) -> DataFrame:
+    """Number of cuts in each interval (chrom, start, end), bounds start < cut <= end, without those
+    that have none.  One that is listed several times counts its cuts as often.
+
+    Cuts and bounds are first made one row a position, so a stretch of ``width`` has no more rows than
+    that.  The cuts up to a bound are those of the stretches before and of its own up to there, and an
+    interval holds the difference of two such numbers: nothing is listed for each cut in an interval.
+    """
+    cuts = contacts.select(F.explode(F.array(*[F.struct(F.col("chrms" + s).alias("chrom"), F.col("cuts" + s).cast("long").alias("pos")) for s in "12"])).alias("c")).select("c.*")
+    cuts = cuts.filter("chrom >= 0 AND pos IS NOT NULL").groupBy("chrom", "pos").agg(F.count("*").alias("k"))
+    own = intervals.filter("start < end").groupBy("chrom", "start", "end").agg(F.count("*").alias("m"))
+    bounds = own.select("chrom", F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("pos"))
+    each = cuts.withColumn("asked", F.lit(False)).unionByName(bounds.select("chrom", "pos", F.lit(0).cast("long").alias("k"), F.lit(True).alias("asked")))
+    each = each.groupBy("chrom", "pos").agg(F.sum("k").alias("k"), F.max("asked").alias("asked")).withColumn("stretch", F.floor(F.col("pos") / width))
+    before = Window.partitionBy("chrom").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy("chrom", "stretch").agg(F.sum("k").alias("s")).select("chrom", "stretch", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("chrom", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = each.withColumn("own", F.sum("k").over(within)).filter("asked").join(sums, ["chrom", "stretch"])
+    upto = upto.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), (F.col("before") + F.col("own")).alias("upto"))
+    for side in ("start", "end"):
+        own = own.join(upto, (F.col("chrom") == F.col("_c")) & (F.col(side) == F.col("_p"))).withColumnRenamed("upto", "_" + side).drop("_c", "_p")
+    return own.select("chrom", "start", "end", (F.col("m") * (F.col("_end") - F.col("_start"))).alias("n")).filter("n > 0")
 
 
 def resampled(blocks: DataFrame, share: float = 1.0, seed: int = 6) -> DataFrame:

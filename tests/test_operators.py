@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from contactloom.operators import contacts as C
 from contactloom.operators import dedup as D
 from contactloom.operators import filters as K
 from contactloom.operators import heatmap as H
+from contactloom.operators import pileup as U
 from contactloom.operators import pixels as P
 from contactloom.operators import scaling as S
 from contactloom.operators import tracks as T
@@ -267,3 +269,24 @@ def test_empty_contacts(spark, genome):
     assert K.valid_pairs(own).count() == 0
     assert H.all_by_all(own, genome, 100_000).count() == 0
     assert K.fragment_counts(own, genome).count() == 2500
+
+
+def test_reads_in_intervals(spark):
+    r = random.Random(6)
+    cuts = [(r.choice([-1, 0, 1]), r.randrange(300), True, r.randrange(2), r.randrange(300), False) for _ in range(400)]
+    iv = [(r.randrange(2), a, a + r.randrange(-5, 120)) for a in [r.randrange(-20, 300) for _ in range(80)]]
+    iv += iv[:10] + [(5, 0, 300), (0, None, 10), (1, 400, 500)]
+    got = U.reads_in_intervals(spark.createDataFrame(cuts, SCHEMA), spark.createDataFrame(iv, "chrom int, start long, end long"), 32).collect()
+    points = [(c, p) for a in cuts for c, p in (a[:2], a[3:5]) if c >= 0]
+    n = {i: iv.count(i) * sum(c == i[0] and i[1] < p <= i[2] for c, p in points) for i in set(iv) if None not in i}
+    assert sorted(map(tuple, got)) == sorted((*i, k) for i, k in n.items() if k)
+
+
+def test_reads_in_long_intervals(spark):
+    """No row for each cut in an interval: 20,000 intervals that hold most of 20,000 positions."""
+    cuts = spark.range(20_000).selectExpr("0 AS chrms1", "cast(id * 50 AS int) AS cuts1", "true AS strands1", "-1 AS chrms2", "0 AS cuts2", "true AS strands2")
+    iv = spark.range(20_000).selectExpr("0 AS chrom", "id AS start", "1000000 - id AS end")
+    own = U.reads_in_intervals(cuts, iv)
+    assert own.agg(F.sum("n")).first()[0] == sum((1_000_000 - i) // 50 - i // 50 - (i == 0) for i in range(20_000))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join .*(pos|cut|_at)#\d+L? [<>]", plan)
