@@ -90,11 +90,40 @@ def domain_pileup(blocks: DataFrame, domains: DataFrame, resolution: int, size:
 
 def near_domains(loops: DataFrame, domains: DataFrame, within: int = 80_000) -> DataFrame:
     """Loops (chrom, start, end) with |start - s| + |end - e| < ``within`` for some domain of their
-    chromosome.  Buckets of ``within`` on the start make it an equi-join of neighbours."""
-    listed = domains.select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.array(*[F.expr(f"cast(floor(start / {within}) as bigint) + {k}") for k in (-1, 0, 1)])).alias("_b"))
-    own = loops.withColumn("_lb", F.floor(F.col("start") / within).cast("long"))
-    on = (F.col("chrom") == F.col("_c")) & (F.col("_lb") == F.col("_b")) & (F.abs(F.col("start") - F.col("_s")) + F.abs(F.col("end") - F.col("_e")) < within)
-    return own.join(listed, on, "left_semi").drop("_lb")
+    chromosome.
+
+    In u = start + end and v = start - end, such a domain lies in the open square of side 2 * within
+    around the loop.  That takes in the loop's own cell of a grid of ``within`` wholly, the four cells
+    beside it up to a bound on one axis, and those at the corners up to a bound on both.  So the first
+    five are told by the extremes of the domains of a cell.  For a corner, each cell keeps the least v
+    of the domains before each u (axes turned the corner's way), found by a running minimum: the work
+    grows with loops and domains, not with their pairs, and a cell has ``within`` places u at most.
+    """
+    at = lambda x: F.floor(F.col(x) / within).cast("long")
+    turned = lambda df: df.withColumn("u", F.col("start").cast("long") + F.col("end")).withColumn("v", F.col("start").cast("long") - F.col("end")).withColumn("i", at("u")).withColumn("j", at("v"))
+    d = turned(domains.select("chrom", "start", "end").distinct()).filter("u IS NOT NULL AND chrom IS NOT NULL")
+    own = turned(loops.select("chrom", "start", "end")).filter("u IS NOT NULL AND chrom IS NOT NULL")
+    cells = d.groupBy("chrom", "i", "j").agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
+    sides = [(0, 0, "here", F.col("u0")), (-1, 0, "left", F.col("u1")), (1, 0, "right", F.col("u0")), (0, -1, "below", F.col("v1")), (0, 1, "above", F.col("v0"))]
+    told = cells.select("chrom", F.explode(F.array(*[F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), *[(x if n == m else F.lit(None).cast("long")).alias(m) for *_, m, _ in sides]) for di, dj, n, x in sides])).alias("t"))
+    told = told.groupBy("chrom", "t.i", "t.j").agg(*[F.max(f"t.{n}").alias(n) for *_, n, _ in sides])
+    told = told.select(F.col("chrom").alias("_c"), F.col("i").alias("_i"), F.col("j").alias("_j"), *[n for *_, n, _ in sides])
+    found = F.expr(f"here IS NOT NULL OR left > u - {within} OR right < u + {within} OR below > v - {within} OR above < v + {within}")
+    own = own.join(told, F.expr("chrom = _c AND i = _i AND j = _j"), "left").withColumn("found", F.coalesce(found, F.lit(False))).select("chrom", "start", "end", "u", "v", "found")
+    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 1) for b in (-1, 1)]))
+    place = [F.col("a") * F.col("u"), F.col("b") * F.col("v")]
+    keys = ["chrom", "i", "j", "a", "b"]
+    steps = d.select("chrom", "i", "j", "u", "v", corners.alias("t")).select("chrom", "i", "j", "t.*", "u", "v").select(*keys, place[0].alias("p"), place[1].alias("q"), F.lit(False).alias("asked"))
+    asks = own.filter("NOT found").select("chrom", "start", "end", "u", "v").distinct().select("*", corners.alias("t")).select("chrom", "start", "end", "t.*", "u", "v")
+    asks = asks.withColumns({"u": F.col("u") + F.col("a") * within, "v": F.col("v") + F.col("b") * within}).withColumns({"i": at("u"), "j": at("v")})
+    asks = asks.select(*keys, place[0].alias("p"), place[1].alias("q"), "start", "end")
+    both = steps.unionByName(asks.select(*keys, "p", F.lit(None).cast("long").alias("q"), F.lit(True).alias("asked")))
+    both = both.groupBy(*keys, "p").agg(F.min("q").alias("q"), F.max("asked").alias("asked"))
+    least = F.min("q").over(Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    best = both.withColumn("least", least).filter("asked AND least IS NOT NULL").select(*keys, "p", "least")
+    cornered = asks.join(best, [*keys, "p"]).filter("least < q").select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).distinct().withColumn("_near", F.lit(True))
+    own = own.join(cornered, F.expr("NOT found AND chrom = _c AND start = _s AND end = _e"), "left")
+    return own.filter("found OR _near").select("chrom", "start", "end")
 
 
 def reads_in_intervals(contacts: DataFrame, intervals: DataFrame, width: int = 10_000) -> DataFrame:

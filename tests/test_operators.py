@@ -290,3 +290,20 @@ def test_reads_in_long_intervals(spark):
     assert own.agg(F.sum("n")).first()[0] == sum((1_000_000 - i) // 50 - i // 50 - (i == 0) for i in range(20_000))
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join .*(pos|cut|_at)#\d+L? [<>]", plan)
+
+
+def test_loops_near_domains(spark):
+    r = random.Random(9)
+    place = lambda: (r.randrange(2), r.randrange(-100, 600), r.randrange(-100, 600))
+    loops = [place() for _ in range(600)]
+    loops += loops[:20] + [(0, None, 5), (7, 1, 1)]
+    domains = [place() for _ in range(25)]
+    domains += domains[:3] + [(0, 3, None)]
+    near = lambda a, b: None not in (*a, *b) and a[0] == b[0] and abs(a[1] - b[1]) + abs(a[2] - b[2]) < 60
+    got = U.near_domains(spark.createDataFrame(loops, "chrom int, start long, end long"), spark.createDataFrame(domains, "chrom int, start long, end long"), 60).collect()
+    assert sorted(map(tuple, got)) == sorted(a for a in loops if any(near(a, b) for b in domains))
+
+
+def test_near_domains_makes_no_pairs(spark):
+    plan = U.near_domains(*[spark.range(10).selectExpr("0 AS chrom", "id AS start", "id AS end")] * 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join .*abs\(", plan)
