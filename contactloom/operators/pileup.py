@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..genome import Genome, small
+from .pixels import full
 
 
 def loop_windows(loops: DataFrame, genome: Genome, resolution: int, pad: int, least_bins: int = 10) -> DataFrame:
@@ -25,7 +26,7 @@ def loop_pileup(blocks: DataFrame, windows: DataFrame, pad: int) -> DataFrame:
     ``blocks`` are cis maps (chrom, pos1 <= pos2, value).  Windows are listed by row (their rows
     are 2 * pad), which turns the interval join into an equi-join; columns are a filter.
     """
-    both = blocks.select("chrom", "pos1", "pos2", "value").unionByName(blocks.filter("pos1 <> pos2").select("chrom", F.col("pos2").alias("pos1"), F.col("pos1").alias("pos2"), "value"))
+    both = full(blocks.select("chrom", "pos1", "pos2", "value"), "pos1", "pos2")
     rows = windows.select("chrom", "s", "e", "m", F.explode(F.sequence(F.lit(0), F.lit(2 * pad - 1))).alias("x"))
     rows = rows.withColumn("pos1", F.col("s") - pad + F.col("x"))
     hit = rows.join(both, ["chrom", "pos1"]).filter(f"pos2 >= e - {pad} AND pos2 < e + {pad}")
@@ -44,7 +45,8 @@ def normalised_pileup(pile: DataFrame, cov: DataFrame) -> DataFrame:
     """A pile-up over its coverage product + 1, that scaled to mean 1.  Windows are small tables."""
     one = cov.select(F.col("k").alias("x"), F.col("cov1"))
     two = cov.select(F.col("k").alias("y"), F.col("cov2"))
-    grid = one.join(F.broadcast(two)).withColumn("c", F.col("cov1") * F.col("cov2") + 1.0)
+    # as doubles: the product of two sums of counts may be more than a long holds
+    grid = one.join(F.broadcast(two)).withColumn("c", F.col("cov1").cast("double") * F.col("cov2").cast("double") + 1.0)
     mean = grid.agg(F.avg("c").alias("mean"))
     out = grid.join(F.broadcast(mean)).join(pile, ["x", "y"], "left")
     return out.select("x", "y", (F.coalesce("value", F.lit(0)) / (F.col("c") / F.col("mean"))).alias("value"))
@@ -72,7 +74,7 @@ def domain_pileup(blocks: DataFrame, domains: DataFrame, resolution: int, size:
     domains, each rescaled by area so that its sum stays."""
     own = domains.filter((F.col("end") - F.col("start")).between(least, most)).select("chrom", F.expr(f"cast(start div {resolution} as int)").alias("s"), F.expr(f"cast(end div {resolution} as int)").alias("e"))
     own = own.filter("e > s").groupBy("chrom", "s", "e").agg(F.count("*").alias("m")).withColumn("a", 2 * F.col("s") - F.col("e")).withColumn("z", 2 * F.col("e") - F.col("s"))
-    both = blocks.select("chrom", "pos1", "pos2", "value").unionByName(blocks.filter("pos1 <> pos2").select("chrom", F.col("pos2").alias("pos1"), F.col("pos1").alias("pos2"), "value"))
+    both = full(blocks.select("chrom", "pos1", "pos2", "value"), "pos1", "pos2")
     rows = own.filter("a >= 0").select("*", F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("pos1"))
     hit = rows.join(both, ["chrom", "pos1"]).filter("pos2 >= a AND pos2 < z")
     hit = hit.select((F.col("z") - F.col("a")).alias("n"), (F.col("pos1") - F.col("a")).alias("i"), (F.col("pos2") - F.col("a")).alias("j"), (F.col("value") * F.col("m")).alias("value"))
