@@ -307,3 +307,73 @@ def test_loops_near_domains(spark):
 def test_near_domains_makes_no_pairs(spark):
     plan = U.near_domains(*[spark.range(10).selectExpr("0 AS chrom", "id AS start", "id AS end")] * 2)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join .*abs\(", plan)
+
+
+def test_normalised_pileup_of_large_sums(spark):
+    pile = spark.createDataFrame([(0, 0, 5), (1, 1, 7)], "x int, y int, value long")
+    cov = spark.createDataFrame([(0, 6 * 10**11, 6 * 10**11), (1, 3 * 10**11, 3 * 10**11)], "k int, cov1 long, cov2 long")
+    got = {(a["x"], a["y"]): a["value"] for a in U.normalised_pileup(pile, cov).collect()}
+    mean = (6e11 + 3e11) ** 2 / 4
+    assert got == {(0, 0): pytest.approx(5 * mean / 36e22), (0, 1): 0, (1, 0): 0, (1, 1): pytest.approx(7 * mean / 9e22)}
+
+
+def _longest_method(spark, df):
+    """Bytes of the longest method that stages of a plan are compiled to."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df.select("*")._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set(name, before)
+    return max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text))
+
+
+def test_code_is_short_enough_to_be_compiled(spark, tmp_path, genome):
+    """The JVM interprets methods of over 8000 bytes for ever: maps took several times as long."""
+    line = "1L AS l_orderkey, 2L AS l_partkey, 3L AS l_suppkey, 1 AS l_linenumber, 4.0D AS l_quantity, 5.0D AS l_extendedprice, 'A' AS l_returnflag, 'O' AS l_linestatus"
+    spark.range(3).selectExpr(*line.split(", ")).withColumn("l_orderkey", F.when(F.rand() < 2, F.col("l_orderkey"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    valid = K.valid_pairs(C.with_distances(C.assign_fragments(fixtures.contacts(spark, str(tmp_path)), genome)))
+    for own in (valid, H.all_by_all(valid, genome, 100_000)):
+        assert _longest_method(spark, own) <= 8000
+
+
+def test_maps_are_read_once(spark):
+    """One scan of the map, both triangles and both directions from it."""
+    px = spark.range(40).selectExpr("cast(id % 7 AS int) AS bin1", "cast(id AS int) AS bin2", "id AS value").filter("bin1 <= bin2")
+    for own in (T.directionality(px, 40, 5), T.diamond(px, 40, 5)):
+        assert own._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_cuts_at_and_behind_a_chromosomes_end(spark):
+    chroms = spark.createDataFrame([(0, "chr1", 1000, 400, 500, 450), (1, "chr2", 250, 100, 120, 110)], "chrom int, label string, len long, cntr_start long, cntr_end long, cntr_mid long")
+    g = Genome.uniform(chroms, 100)
+    rows = [(c, p, f, 0, 50, True) for c in (0, 1, -1) for p in (0, 1, 3, 99, 100, 103, 247, 250, 400, 999, 1000, 5000) for f in (True, False)]
+    for r in C.assign_fragments(spark.createDataFrame(rows, SCHEMA), g).collect():
+        v = max(1, min({0: 1000, 1: 250}.get(r["chrms1"], 0), r["cuts1"] + 7 * r["strands1"] - 3))
+        assert r["rfrag1"] == (-1 if r["chrms1"] < 0 else 10 * r["chrms1"] + (v - 1) // 100)
+
+
+def test_greedy_scan_over_many_batches(spark):
+    r = random.Random(11)
+    rows = sorted({(0, 7 * k + r.randrange(7), True, 0, r.randrange(3000), True) for k in range(1500)})
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "13")
+    try:
+        got = D.quasi_duplicates(spark.createDataFrame(rows, SCHEMA), 500).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, got)) == _greedy(rows, 500, "max")
+
+
+def test_a_long_chain_is_not_copied_batch_by_batch(spark):
+    """120,000 reads of one chain come in batches of 500: what is held is what may still meet others."""
+    own = spark.range(120_000).selectExpr("0 AS chrms1", "cast(id * 10 AS int) AS cuts1", "true AS strands1", "0 AS chrms2", "cast(id * 10 AS int) AS cuts2", "true AS strands2")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "500")
+    try:
+        assert D.quasi_duplicates(own, 500).count() == 2400
+    finally:
+        spark.conf.set(name, before)

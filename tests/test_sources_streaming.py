@@ -121,3 +121,22 @@ def test_streams_equal_batches(spark, tmp_path):
     assert run(Z.unique_pairs(stream), "pairs").count() == len({tuple(sorted([(a, b), (d, e)])) for a, b, c, d, e, f in rows})
     counts = run(Z.pixel_counts(stream, 1000), "pixels", "complete")
     assert sum(r["value"] for r in counts.collect()) == len(rows)
+
+
+def test_sides_by_the_farthest_place(spark):
+    rows = [("q1/1", 0, 2, -1, "5"), ("q1/1", 16, 2, 7, "5"), ("q2/1", 0, 0, -1, "5"), ("q3/1", 16, 1, 3, None), ("q4/1", 0, 3, 2**31 - 1, "5"), ("q4/1", 0, 1, 9, "5"), ("q5/1", 0, 1, 8, "5"), ("q5/1", 16, 1, 4, "5")]
+    own = R.side(spark.createDataFrame(rows, "qname string, flag int, chrom int, pos int, md string"))
+    assert sorted(map(tuple, own.collect())) == [("q1", 2, 11, False), ("q2", 0, -1, True), ("q4", 3, 2**31 - 1, True), ("q5", 1, 8, True)]
+
+
+def test_tags_of_lines(spark):
+    head = "a\t0\tchr1\t11\t30\t5M\t*\t0\t0\tMD:Z:9\tXS:i:1"
+    lines = [head, head + "\tMD:Z:2A2", head + "\tNM:i:0\tMD:Z:3\tMD:Z:4\tXS:i:3", head + "\tYMD:Z:1\tAXS:i:1", head + "\tMD:Z:\tMD:Z:4", "@HD\tVN:1", ""]
+    got = [(r["md"], r["has_xs"]) for r in R.parse_sam(spark.createDataFrame([(x,) for x in lines[:5]], "line string")).collect()]
+    assert got == [(None, False), ("2A2", False), ("3", True), (None, False), (None, False)]
+
+
+def test_lines_are_split_once(spark):
+    made = spark.range(3).selectExpr("concat_ws('\t', id, '0', 'chr1', '5', '30', '5M', '*', '0', '0', 'A', 'I', 'MD:Z:5') AS line")
+    plan = R.mapped(R.parse_sam(made), fixtures.genome(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
