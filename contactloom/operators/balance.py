@@ -240,6 +240,8 @@ def fake_missing(pixels: DataFrame, bins: DataFrame, n_bins: int, seed: int = 3)
     own = with_chroms(pixels, bins, n_bins).filter("chrom1 = chrom2").withColumn("d", F.col("bin2") - F.col("bin1"))
     valid = bins.join(sides(pixels).select("bin").distinct(), "bin", "left_semi").select("bin", "chrom")
     cells = valid.withColumnRenamed("bin", "bin1").join(valid.withColumnRenamed("bin", "bin2"), "chrom").filter("bin1 <= bin2")
+    # read five times
+    pixels = Workspace(pixels.sparkSession, "fake-missing").write(pixels, "pixels")
     empty = cells.join(own, ["bin1", "bin2"], "left_anti").withColumn("d", F.col("bin2") - F.col("bin1"))
     ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("chrom1", "d").orderBy("bin1")) - 1).select(F.col("chrom1").alias("chrom"), "d", "k", "value")
     sizes = own.groupBy(F.col("chrom1").alias("chrom"), "d").agg(F.count("*").alias("n"))
