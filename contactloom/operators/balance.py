@@ -144,11 +144,12 @@ def marginal_error(totals: DataFrame, p: float = 0.999) -> DataFrame:
 
 def by_fragments(contacts: DataFrame, least: int = 50, tol: float = 0.01, passes: int = 100) -> DataFrame:
     """(bin, bias) of fragments with more than ``least`` reads."""
-    from .fragments import sides
-    from .heatmap import by_fragment
-
-    some = sides(contacts).groupBy("rfrag").agg(F.count("*").alias("n")).filter(F.col("n") > least).select(F.col("rfrag").alias("_k"))
-    own = contacts
+    # reads of a pair of fragments stay or go together: counted once, then by their pairs
+    space = Workspace(contacts.sparkSession, "by-fragments")
+    pairs = space.write(contacts.groupBy("rfrag1", "rfrag2").agg(F.count("*").alias("value")), "pairs")
+    each = pairs.select(F.explode(F.array("rfrag1", "rfrag2")).alias("rfrag"), "value").filter("rfrag >= 0")
+    some = each.groupBy("rfrag").agg(F.sum("value").alias("n")).filter(F.col("n") > least).select(F.col("rfrag").alias("_k"))
+    own = pairs.filter("rfrag1 >= 0 AND rfrag2 >= 0")
     for s in "12":
         own = own.join(some, F.col("rfrag" + s) == F.col("_k"), "left_semi")
     return balance(by_fragment(own), passes, tol)
