@@ -56,6 +56,7 @@ def balance(pixels: DataFrame, passes: int = 50, tol: float = 1e-5, trans_only:
     and divides all."""
     counted = F.col("chrom1") != F.col("chrom2") if trans_only else F.lit(True)
     own = pixels.select("bin1", "bin2", F.col("value").cast("double").alias("value"), counted.alias("counted"))
+    own = Workspace(pixels.sparkSession, "balance").write(own, "all")  # counted, then worked off
     if own.limit(in_task + 1).count() <= in_task:
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
