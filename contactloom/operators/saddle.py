@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
 from .pixels import sides
 from .scaling import observed_over_expected
 
@@ -21,18 +22,26 @@ def quintiles(track: DataFrame, bins: DataFrame, classes: int = 5) -> DataFrame:
     return placed.withColumn("q", q.cast("int")).filter("q IS NOT NULL").select("bin", "chrom", "q")
 
 
-def saddle(pixels: DataFrame, bins: DataFrame, track: DataFrame, classes: int = 5) -> DataFrame:
-    """q1, q2 and value: per chromosome the mean cell between two classes, summed over chromosomes.
-    Bins without cis reads don't count; cells without reads do."""
-    ooe = observed_over_expected(pixels, bins)
+def _class_cells(pixels: DataFrame, bins: DataFrame, track: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
+    """Cells (chrom, q1, q2, value) of both triangles by their bins' classes, and (chrom, q1, q2, n1, n2),
+    how many bins pairs of classes have.  Cis pixels are read several times, so they're written first."""
+    own = pixels.filter("chrom1 = chrom2").select("bin1", "bin2", "chrom1", "chrom2", "value")
+    ooe = observed_over_expected(Workspace(pixels.sparkSession, "saddle").write(own, "pixels"), bins)
     valid = sides(ooe).select("bin").distinct()
     placed = quintiles(track.join(valid, "bin", "left_semi"), bins, classes)
     sizes = placed.groupBy("chrom", "q").agg(F.count("*").alias("n"))
     p = [placed.select(F.col("bin").alias("_b" + s), F.col("q").alias("q" + s)) for s in "12"]
     hit = ooe.join(p[0], F.col("bin1") == F.col("_b1")).join(p[1], F.col("bin2") == F.col("_b2"))
     both = hit.select("chrom", "q1", "q2", "value").unionByName(hit.filter("bin1 <> bin2").select("chrom", F.col("q2").alias("q1"), F.col("q1").alias("q2"), "value"))
-    sums = both.groupBy("chrom", "q1", "q2").agg(F.sum("value").alias("total"))
     grid = sizes.select("chrom", F.col("q").alias("q1"), F.col("n").alias("n1")).join(sizes.select("chrom", F.col("q").alias("q2"), F.col("n").alias("n2")), "chrom")
+    return both, grid
+
+
+def saddle(pixels: DataFrame, bins: DataFrame, track: DataFrame, classes: int = 5) -> DataFrame:
+    """q1, q2 and value: per chromosome the mean cell between two classes, summed over chromosomes.
+    Bins without cis reads don't count; cells without reads do."""
+    both, grid = _class_cells(pixels, bins, track, classes)
+    sums = both.groupBy("chrom", "q1", "q2").agg(F.sum("value").alias("total"))
     means = grid.join(sums, ["chrom", "q1", "q2"], "left").withColumn("mean", F.coalesce("total", F.lit(0.0)) / (F.col("n1") * F.col("n2")))
     return means.groupBy("q1", "q2").agg(F.sum("mean").alias("value"))
 
@@ -50,15 +59,8 @@ def bootstrap(pixels: DataFrame, bins: DataFrame, track: DataFrame, times: int =
     The cells of a (chromosome, class, class) are first counted by value, so a task draws from a
     table of distinct values, and empty cells are one of them.
     """
-    ooe = observed_over_expected(pixels, bins)
-    valid = sides(ooe).select("bin").distinct()
-    placed = quintiles(track.join(valid, "bin", "left_semi"), bins, classes)
-    sizes = placed.groupBy("chrom", "q").agg(F.count("*").alias("n"))
-    p = [placed.select(F.col("bin").alias("_b" + s), F.col("q").alias("q" + s)) for s in "12"]
-    hit = ooe.join(p[0], F.col("bin1") == F.col("_b1")).join(p[1], F.col("bin2") == F.col("_b2"))
-    both = hit.select("chrom", "q1", "q2", "value").unionByName(hit.filter("bin1 <> bin2").select("chrom", F.col("q2").alias("q1"), F.col("q1").alias("q2"), "value"))
+    both, grid = _class_cells(pixels, bins, track, classes)
     values = both.groupBy("chrom", "q1", "q2", "value").agg(F.count("*").alias("m"))
-    grid = sizes.select("chrom", F.col("q").alias("q1"), F.col("n").alias("n1")).join(sizes.select("chrom", F.col("q").alias("q2"), F.col("n").alias("n2")), "chrom")
     own = values.join(grid, ["chrom", "q1", "q2"])
 
     def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
