@@ -240,7 +240,8 @@ def nearest_domain(d):
 
 @query("set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT rfrag1 FROM vp UNION SELECT rfrag2 FROM vp) UNION ALL SELECT 'intersect', count(*) FROM (SELECT rfrag1 FROM vp INTERSECT SELECT rfrag2 FROM vp) UNION ALL SELECT 'except', count(*) FROM (SELECT rfrag1 FROM vp EXCEPT SELECT rfrag2 FROM vp)")
 def set_operations(d):
-    a, b = d.valid.select(F.col("rfrag1").alias("r")), d.valid.select(F.col("rfrag2").alias("r"))
-    n = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
-    return n(a.union(b).distinct(), "union").unionByName(n(a.intersect(b), "intersect")).unionByName(n(a.subtract(b), "except"))
-
+    # one pass: on which sides each fragment occurs
+    each = d.valid.select(F.explode(F.array(*[F.struct(F.col("rfrag" + s).alias("r"), F.lit(s == "1").alias("a"), F.lit(s == "2").alias("b")) for s in "12"])).alias("x")).select("x.*")
+    each = each.groupBy("r").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    n = each.agg(F.count("*").alias("union"), F.count(F.expr("if(a AND b, 1, null)")).alias("intersect"), F.count(F.expr("if(a AND NOT b, 1, null)")).alias("except"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(f"`{op}`").alias("n")) for op in ("union", "intersect", "except")])).alias("x")).select("x.*")
