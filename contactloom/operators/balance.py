@@ -153,7 +153,8 @@ def by_fragments(contacts: DataFrame, least: int = 50, tol: float = 0.01, passes
     own = pairs.filter("rfrag1 >= 0 AND rfrag2 >= 0")
     for s in "12":
         own = own.join(some, F.col("rfrag" + s) == F.col("_k"), "left_semi")
-    return balance(by_fragment(own), passes, tol)
+    own = own.groupBy(F.least("rfrag1", "rfrag2").alias("bin1"), F.greatest("rfrag1", "rfrag2").alias("bin2")).agg(F.sum("value").alias("value"))
+    return balance(own, passes, tol)
 
 
 def by_reads(contacts: DataFrame, steps: int = 10) -> DataFrame:
@@ -239,11 +240,11 @@ def fake_missing(pixels: DataFrame, bins: DataFrame, n_bins: int, seed: int = 3)
 
     from .pixels import sides, with_chroms
 
+    # read five times
+    pixels = Workspace(pixels.sparkSession, "fake-missing").write(pixels, "pixels")
     own = with_chroms(pixels, bins, n_bins).filter("chrom1 = chrom2").withColumn("d", F.col("bin2") - F.col("bin1"))
     valid = bins.join(sides(pixels).select("bin").distinct(), "bin", "left_semi").select("bin", "chrom")
     cells = valid.withColumnRenamed("bin", "bin1").join(valid.withColumnRenamed("bin", "bin2"), "chrom").filter("bin1 <= bin2")
-    # read five times
-    pixels = Workspace(pixels.sparkSession, "fake-missing").write(pixels, "pixels")
     empty = cells.join(own, ["bin1", "bin2"], "left_anti").withColumn("d", F.col("bin2") - F.col("bin1"))
     ranked = own.withColumn("k", F.row_number().over(Window.partitionBy("chrom1", "d").orderBy("bin1")) - 1).select(F.col("chrom1").alias("chrom"), "d", "k", "value")
     sizes = own.groupBy(F.col("chrom1").alias("chrom"), "d").agg(F.count("*").alias("n"))
